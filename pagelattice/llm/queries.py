@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .site_lines import repeated_lines
+from .visual import look_alike_pairs
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return look_alike_pairs(table(spark, sf_dir, "preview_responses"), ["title", "markdown"])
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +20,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p5_found": p5_found}
+    names = [p4_found, p5_found]
+    return {f.__name__: f for f in names}
 
 
 def oracle_sql() -> dict[str, str]:
