@@ -5,12 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
+from .near import duplicate_pairs, near_duplicates
 from .site_lines import repeated_lines
 from .visual import look_alike_pairs
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicate_pairs(*near_duplicates(table(spark, sf_dir, "preview_responses")))
+
+
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per compared response its class of equal words and the class's number of links."""
+    links, members = near_duplicates(table(spark, sf_dir, "preview_responses"))
+    n = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
+    return members.join(n, "rep", "left").select(
+        F.col("doc").alias("response_id"), F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+    )
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return look_alike_pairs(table(spark, sf_dir, "preview_responses"), ["title", "markdown"])
 
@@ -20,7 +35,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = [p4_found, p5_found]
+    names = [p3_found, p3_classes, p4_found, p5_found]
     return {f.__name__: f for f in names}
 
 
