@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .near import duplicate_pairs, near_duplicates
 from .site_lines import repeated_lines
+from .spans import shared_spans
 from .visual import look_alike_pairs
 
 
@@ -34,8 +35,28 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines(table(spark, sf_dir, "preview_responses"), table(spark, sf_dir, "results"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_spans(table(spark, sf_dir, "documents"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the code points and the share of its text found elsewhere; null text: null."""
+    docs = table(spark, sf_dir, "documents")
+    spans = p8_found(spark, sf_dir).groupBy("doc_id").agg(F.sum(F.expr("span_end - span_start")).alias("n_shared"))
+    return (
+        docs.select("doc_id", F.length("text").alias("n_text"))
+        .join(spans, "doc_id", "left")
+        .select(
+            "doc_id",
+            "n_text",
+            F.when(F.col("n_text").isNotNull(), F.coalesce("n_shared", F.lit(0))).alias("n_shared"),
+            F.when(F.col("n_text") > 0, F.coalesce("n_shared", F.lit(0)) / F.col("n_text")).alias("shared_part"),
+        )
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = [p3_found, p3_classes, p4_found, p5_found]
+    names = [p3_found, p3_classes, p4_found, p5_found, p8_found, p8_shares]
     return {f.__name__: f for f in names}
 
 
