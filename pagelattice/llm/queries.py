@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import durable, table
 from .near import duplicate_pairs, near_duplicates
+from .packing import pack
 from .site_lines import repeated_lines
 from .spans import shared_spans
+from .tokens import token_counts, token_ids
 from .visual import look_alike_pairs
 
 
@@ -35,6 +37,34 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines(table(spark, sf_dir, "preview_responses"), table(spark, sf_dir, "results"))
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids(table(spark, sf_dir, "documents"))
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in a container of each capacity of ``pack_sizes``."""
+    packs = table(spark, sf_dir, "pack_sizes").where("capacity_tokens > 0")
+    capacities = [r[0] for r in packs.select("capacity_tokens").distinct().limit(1001).collect()]
+    if len(capacities) > 1000:
+        raise ValueError("pack_sizes names container sizes and is to stay small")
+    sizes = durable(token_counts(table(spark, sf_dir, "documents")))
+    placed = pack(sizes, capacities).withColumnRenamed("capacity", "capacity_tokens")
+    return placed.join(F.broadcast(packs.select("pack_id", "capacity_tokens")), "capacity_tokens").select(
+        "pack_id", "capacity_tokens", "container", "doc_id", "piece", "n_tokens"
+    )
+
+
+def p7_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per capacity: containers, the fewest there could be, and the part left unused."""
+    per = p7_containers(spark, sf_dir).groupBy("pack_id", "capacity_tokens", "container").agg(F.sum("n_tokens").alias("used"))
+    return per.groupBy("pack_id", "capacity_tokens").agg(
+        F.count(F.lit(1)).alias("containers"),
+        F.ceil(F.sum("used") / F.col("capacity_tokens")).alias("fewest"),
+        (1 - F.sum("used") / (F.count(F.lit(1)) * F.col("capacity_tokens"))).alias("unused_part"),
+        F.max("used").alias("most_used"),
+    )
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans(table(spark, sf_dir, "documents"))
 
@@ -56,7 +86,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = [p3_found, p3_classes, p4_found, p5_found, p8_found, p8_shares]
+    names = [p3_found, p3_classes, p4_found, p5_found, p6_ids, p7_containers, p7_unused, p8_found, p8_shares]
     return {f.__name__: f for f in names}
 
 
