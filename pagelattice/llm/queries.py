@@ -10,12 +10,17 @@ from pyspark.sql import functions as F
 from .common import durable, table
 from .near import duplicate_pairs, near_duplicates
 from .packing import pack
+from .residue import residue
 from .site_lines import repeated_lines
 from .spans import shared_spans
 from .tokens import token_counts, token_ids
 from .visual import look_alike_pairs
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue(table(spark, sf_dir, "preview_responses"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_pairs(*near_duplicates(table(spark, sf_dir, "preview_responses")))
 
@@ -86,7 +91,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = [p3_found, p3_classes, p4_found, p5_found, p6_ids, p7_containers, p7_unused, p8_found, p8_shares]
+    names = [p1_found, p3_found, p3_classes, p4_found, p5_found, p6_ids, p7_containers, p7_unused, p8_found, p8_shares]
     return {f.__name__: f for f in names}
 
 
