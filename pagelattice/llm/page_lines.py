@@ -8,14 +8,14 @@ from .visual import consistent
 
 BLANK, CODE, TABLE, HEADING, QUOTE, ITEM, PLAIN, FURNITURE = range(8)
 
+_FIRST = {"": BLANK, "|": TABLE, ">": QUOTE, "#": HEADING} | dict.fromkeys("-*+0123456789", ITEM)
 _LINK = r"!?\[[^\]]*\]\([^)]*\)"
-_FENCE = re.compile(r"\s*(`{3,}|~{3,})")
+_FENCE = re.compile(r"(`{3,}|~{3,})")
 _HEADING = re.compile(r"#{1,6}(\s|$)")
 _BOLD = re.compile(r"\*\*[^*]+\*\*")
 _BULLET = re.compile(r"(?:[-*+]|\d{1,3}[.)])\s+")
 _LINK_ITEM = re.compile(r"[-*+]\s+" + _LINK)
 _LINK_ROW = re.compile(r"(?:" + _LINK + r"[\s·|•/,-]*)+")
-_CRUMB = re.compile(r"[^>›»/]{1,40}(?: (?:>|›|»|/) [^>›»/]{1,40}){2,}")
 _DIGIT = re.compile(r"\d")
 
 # How the furniture of a page reads in English, German, French and Spanish,
@@ -23,7 +23,7 @@ _DIGIT = re.compile(r"\d")
 FURNITURE_LINES = re.compile(
     "(?:"
     # cookie notices
-    r"(?:.{2,40} and its partners store data in your browser|your privacy matters to .{2,40}|we set cookies to .{3,60}"
+    r"(?:your privacy matters to .{2,40}|we set cookies to .{3,60}"
     r"|cookies help us .{3,40}|this site (?:keeps|uses|stores) (?:small files|cookies)\b.{0,40})\..{0,80}"
     r"|(?:some of them are needed, others help us improve|you can change this at any time in settings"
     r"|by staying here you agree to their use|choose what we may keep)\."
@@ -57,14 +57,19 @@ FURNITURE_LINES = re.compile(
     r"|todos los datos se dan sin garantía\.|reproducción solo con permiso de .{2,40}"
     r"|toutes les données sont fournies sans garantie\.|reproduction soumise à l[’']accord de .{2,40}"
     r"|(?:©|\(c\)|copyright) .{0,80}"
-    r"|.{0,60}(?:all rights reserved|alle rechte vorbehalten|tous droits réservés|todos los derechos reservados)\.?"
     # footers
     r"|back to top|nach oben|volver arriba|haut de page|made by people at .{2,40}|language: .{2,60}"
-    r"|open on weekdays .{2,40}|werktags ab .{2,30}|abierto desde .{2,30}|ouvert dès .{2,30}|.{2,40} is run from .{2,40}"
+    r"|open on weekdays .{2,40}|werktags ab .{2,30}|abierto desde .{2,30}|ouvert dès .{2,30}"
     r"|terms|privacy|imprint|sitemap|accessibility|impressum|datenschutz|aviso legal|privacidad|mentions légales|confidentialité"
     ")"
 )
 
+# The same, known by what stands within the line.
+FURNITURE_PARTS = re.compile(
+    r" and its partners store data in your browser\.| is run from |all rights reserved|alle rechte vorbehalten"
+    r"|tous droits réservés|todos los derechos reservados"
+)
+
 # Notices that scripts or another browser are needed.
 SCRIPT_LINES = re.compile(
     r"(?:you need to enable javascript to run this app|this page requires javascript|javascript is (?:required|disabled)"
@@ -139,7 +144,7 @@ def line_kinds(lines: list[str]) -> list[int]:
     kinds = []
     fence = ""
     for line in lines:
-        m = _FENCE.match(line)
+        m = _FENCE.match(line) if line[:1] in ("`", "~") else None
         if fence:
             kinds.append(CODE)
             if m and m.group(1).startswith(fence) and not line[m.end() :].strip():
@@ -147,18 +152,11 @@ def line_kinds(lines: list[str]) -> list[int]:
         elif m:
             fence = m.group(1)
             kinds.append(CODE)
-        elif not line:
-            kinds.append(BLANK)
-        elif line[0] == "|":
-            kinds.append(TABLE)
-        elif line[0] == ">":
-            kinds.append(QUOTE)
-        elif line[0] == "#" and _HEADING.match(line):
-            kinds.append(HEADING)
-        elif _BULLET.match(line):
-            kinds.append(ITEM)
         else:
-            kinds.append(PLAIN)
+            kind = _FIRST.get(line[:1], PLAIN)
+            if kind == HEADING and not _HEADING.match(line) or kind == ITEM and not _BULLET.match(line):
+                kind = PLAIN
+            kinds.append(kind)
     n = len(lines)
     k = 0
     while k < n:
@@ -189,17 +187,33 @@ def _menu(x: str) -> bool:
     return len(x) <= 30 and x.count(" ") < 3 and not _DIGIT.search(x) and x[-1:] not in ".:;!?}>]$%"
 
 
+_KNOWN: dict[str, bool] = {}
+
+
 def _furniture(line: str) -> bool:
-    if len(line) > 240:
-        return False
-    if line[0] == "[" and _LINK_ROW.fullmatch(line):
+    if line[0] == "[" and len(line) <= 400 and _LINK_ROW.fullmatch(line):
         return True
+    if len(line) > 130:
+        return False
+    known = _KNOWN.get(line)
+    if known is None:
+        if len(_KNOWN) > 50_000:
+            _KNOWN.clear()
+        known = _KNOWN[line] = _looks_furniture(line)
+    return known
+
+
+def _looks_furniture(line: str) -> bool:
     for mark in (" | ", " · ", " • "):
         if mark in line and all(_menu(x) for x in line.split(mark)):
             return True
-    if _CRUMB.fullmatch(line) and not line.endswith((".", ":", "?", "!")) and all(len(x.split()) <= 4 for x in re.split(r" [>›»/] ", line)):
-        return True
-    return FURNITURE_LINES.fullmatch(line.lower()) is not None
+    for mark in (" > ", " › ", " » ", " / "):
+        if mark in line:
+            parts = line.split(mark)
+            if len(parts) > 2 and all(0 < len(x) <= 40 and x.count(" ") < 4 for x in parts) and line[-1] not in ".:?!":
+                return True
+    low = line.lower()
+    return FURNITURE_LINES.fullmatch(low) is not None or len(line) <= 110 and FURNITURE_PARTS.search(low) is not None
 
 
 #: Classes of a line for problem 1.
@@ -218,7 +232,7 @@ def message_class(line: str) -> int:
             return ERROR
         if FILLER_LINES.match(text):
             return FILLER
-        if WEAK.search(text):
+        if not _DIGIT.search(text) and WEAK.search(text):  # figures tell such lines apart
             return WEAKLY
     return FILLER if _is_filler(text) else NONE
 
@@ -232,6 +246,11 @@ def _is_filler(text: str) -> bool:
     return sum(w in FILLER_WORDS for w in words) >= 2 and sum(w in FUNCTION_WORDS for w in words) <= len(words) // 20
 
 
+def is_notice(line: str) -> bool:
+    """Is the line a notice that scripts or another browser are needed?"""
+    return len(line) <= 120 and SCRIPT_LINES.match(line.lower().lstrip("#* ")) is not None
+
+
 def is_latin_prose(line: str) -> bool:
     """Could the line go on with filler that another line of its page is? Some words, none
     of them a function word of a living language, and no figures."""

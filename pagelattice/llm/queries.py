@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import durable, table
+from .main_body import main_body
 from .near import duplicate_pairs, near_duplicates
 from .packing import pack
 from .residue import residue
@@ -21,6 +22,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue(table(spark, sf_dir, "preview_responses"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_body(table(spark, sf_dir, "preview_responses"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_pairs(*near_duplicates(table(spark, sf_dir, "preview_responses")))
 
@@ -91,7 +96,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = [p1_found, p3_found, p3_classes, p4_found, p5_found, p6_ids, p7_containers, p7_unused, p8_found, p8_shares]
+    names = [p1_found, p2_found, p3_found, p3_classes, p4_found, p5_found, p6_ids, p7_containers, p7_unused, p8_found, p8_shares]
     return {f.__name__: f for f in names}
 
 

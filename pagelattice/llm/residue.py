@@ -10,8 +10,10 @@ messages only headings, furniture, and lines that recur letter by letter on othe
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -24,27 +26,51 @@ from .common import durable, site_of
 MIN_SITES = 3
 MIN_PAGES = 5
 
-_ADDRESS = re.compile(r"(?:https?://|www\.)\S+|\S+@\S+\.\w+|(?<=\()/[^)\s]*(?=\))|/\w+(?:/[\w.]+)+")
-_NUMBER = re.compile(r"[\w.,:/-]*\d[\w.,:/-]*")
+_ADDRESS = re.compile(r"(?:https?://|www\.)\S+|[^\s@]+@[^\s@]+\.\w+|(?<=\()/[^)\s]*(?=\))|(?<!\S)/\w+(?:/[\w.]+)+")
+_DIGIT = re.compile(r"\d")
 _NAME = re.compile(r"[^\W\d_]{4,}")
 
+ANALYSIS = "doc long, site_hash long, placeholder boolean, marks array<struct<m:long,r:long,c:tinyint>>"
+STREAM = ", site string, kinds binary, sizes array<int>, tokens array<int>"
+
 
 def mask(line: str) -> str:
-    """The line in lower case with addresses, dates and all that holds a digit masked."""
-    line = _ADDRESS.sub("@", line.lower())
-    return _NUMBER.sub("0", line)
+    """A tidied lower-case line with addresses, dates and all that holds a digit masked."""
+    if "@" in line or "/" in line or "www." in line:
+        line = _ADDRESS.sub("@", line)
+    if not _DIGIT.search(line):
+        return line
+    return " ".join("0" if _DIGIT.search(w) else w for w in line.split(" "))
+
+
+class _Tokens(dict):
+    """Word -> 32-bit hash; the lowest bit says whether it holds a digit."""
 
+    def __missing__(self, word: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) & 0x7FFFFFFE
+        h = self[word] = h | (_DIGIT.search(word) is not None)
+        return h
 
-def _marks(pages: DataFrame, doc: str, text: str) -> DataFrame:
-    """Per page ``placeholder`` and ``marks``: for each line that could be body or message
-    ``struct(m, r, c)``, the hashes of the masked and the unmasked line and its class."""
+
+def analyse(pages: DataFrame, doc: str = "response_id", text: str = "markdown", stream: bool = False) -> DataFrame:
+    """What one pass over the pages tells. Per page ``placeholder`` and ``marks``: for each
+    line that could be body or message ``struct(m, r, c)``, the hashes of the masked and the
+    unmasked line and its class. With ``stream`` also the site, the kind of each line, and
+    the sizes and word tokens of the lines that may be plain text or list items.
+
+    Null ids and null or empty texts give no rows; repeated rows stay repeated.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[str, str], tuple[int, int, int]] = {}
-        kind_m, kind_r, kind_c = pa.int64(), pa.int64(), pa.int8()
+        vocabulary = _Tokens()
         for batch in batches:
-            ids, sites, flags, ends = [], [], [], [0]
+            ids, sites, names, flags, ends = [], [], [], [], [0]
             ms, rs, cs = [], [], []
+            all_kinds, sizes, size_ends = [], [], [0]
+            tokens, token_ends = array("i"), [0]
             for i, site, md in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 if i is None or not md:
                     continue
@@ -52,24 +78,22 @@ def _marks(pages: DataFrame, doc: str, text: str) -> DataFrame:
                 name = name.group() if name else ""
                 lines = L.lines_of(md)
                 kinds = L.line_kinds(lines)
-                if len(seen) > 200_000:
+                if len(seen) > 100_000:
                     seen.clear()
                 first, unsure = len(ms), []
                 for line, kind in zip(lines, kinds):
-                    if kind in (L.BLANK, L.FURNITURE) or line.startswith(("```", "~~~")):
+                    if kind == L.BLANK or kind == L.FURNITURE or line.startswith(("```", "~~~")):
                         continue
-                    mark = seen.get((name, line))
+                    mark = seen.get((name, line)) if len(line) < 80 else None
                     if mark is None:
                         c = L.NONE if kind == L.CODE and line[0] != "{" else L.message_class(line)
                         low = line.lower()
                         if name and name in low:
                             low = low.replace(name, "\x01")
-                        low = low.encode("utf-8", "surrogatepass")
-                        masked = mask(line.lower().replace(name, "\x01") if name else line)
-                        mark = (_hash(masked.encode("utf-8", "surrogatepass")), _hash(low), c)
-                        if len(line) < 120:
+                        mark = (_hash(mask(low)), _hash(low), c)
+                        if len(line) < 80:
                             seen[name, line] = mark
-                    if kind == L.HEADING and mark[2] in (L.NONE, L.WEAKLY):
+                    if kind == L.HEADING and (mark[2] == L.NONE or mark[2] == L.WEAKLY):
                         continue
                     if mark[2] == L.NONE and kind == L.PLAIN and len(line) > 20:
                         unsure.append((len(ms), line))
@@ -81,22 +105,50 @@ def _marks(pages: DataFrame, doc: str, text: str) -> DataFrame:
                         if L.is_latin_prose(line):
                             cs[k] = L.FILLER
                 ids.append(i)
-                sites.append(_hash((site or "").encode()))
+                sites.append(_hash(site or ""))
                 flags.append(L.has_placeholder(lines, kinds))
                 ends.append(len(ms))
-            marks = pa.StructArray.from_arrays([pa.array(ms, kind_m), pa.array(rs, kind_r), pa.array(cs, kind_c)], names=["m", "r", "c"])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sites, pa.int64()), pa.array(flags, pa.bool_()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), marks)],
-                names=["doc", "site", "placeholder", "marks"],
-            )
-
-    return pages.select(F.col(doc).cast("long"), "site", text).mapInArrow(
-        run, "doc long, site long, placeholder boolean, marks array<struct<m:long,r:long,c:tinyint>>"
-    )
-
-
-def _hash(x: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(x) - (1 << 63)
+                if stream:
+                    for k, (line, kind) in enumerate(zip(lines, kinds)):
+                        if kind == L.PLAIN or kind == L.ITEM:
+                            # notices that scripts are needed may stand on any page
+                            if kind == L.PLAIN and L.is_notice(line):
+                                kinds[k] = L.FURNITURE
+                                continue
+                            words = line.lower().split(" ")
+                            sizes.append(len(words))
+                            tokens.extend(map(vocabulary.__getitem__, words))
+                        elif kind == L.HEADING and L.is_notice(line):
+                            kinds[k] = L.FURNITURE
+                    names.append(site or "")
+                    all_kinds.append(bytes(kinds))
+                    size_ends.append(len(sizes))
+                    token_ends.append(len(tokens))
+            marks = pa.StructArray.from_arrays([pa.array(ms, pa.int64()), pa.array(rs, pa.int64()), pa.array(cs, pa.int8())], names=["m", "r", "c"])
+            columns = {
+                "doc": pa.array(ids, pa.int64()),
+                "site_hash": pa.array(sites, pa.int64()),
+                "placeholder": pa.array(flags, pa.bool_()),
+                "marks": _lists(ends, marks),
+            }
+            if stream:
+                columns |= {
+                    "site": pa.array(names, pa.string()),
+                    "kinds": pa.array(all_kinds, pa.binary()),
+                    "sizes": _lists(size_ends, pa.array(sizes, pa.int32())),
+                    "tokens": _lists(token_ends, pa.array(np.frombuffer(tokens, np.int32))),
+                }
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return with_site(pages).select(F.col(doc).cast("long"), "site", text).mapInArrow(run, ANALYSIS + STREAM * stream)
+
+
+def _lists(ends: list[int], values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+
+
+def _hash(x: str) -> int:
+    return xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 def with_site(pages: DataFrame) -> DataFrame:
@@ -112,11 +164,15 @@ def residue(pages: DataFrame, doc: str = "response_id", text: str = "markdown")
     empty texts are no cases, nor are texts of blanks or of furniture alone. Repeated rows
     count once. Other columns are ignored.
     """
-    # null addresses: the site is empty
-    marks = durable(_marks(with_site(pages), doc, text).dropDuplicates(["doc"]))
-    lines = marks.select("doc", "site", F.explode("marks").alias("x")).select("doc", "site", "x.m", "x.r", "x.c")
+    return judge(analyse(pages, doc, text))
+
+
+def judge(analysis: DataFrame) -> DataFrame:
+    """``response_id`` of the cases among pages that ``analyse`` has seen."""
+    marks = durable(analysis.select("doc", "site_hash", "placeholder", "marks").dropDuplicates(["doc"]))
+    lines = marks.select("doc", "site_hash", F.explode("marks").alias("x")).select("site_hash", "x.m", "x.r")
     groups = (
-        lines.groupBy("m", "site")
+        lines.groupBy("m", "site_hash")
         .agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("lo"), F.max("r").alias("hi"))
         .groupBy("m")
         .agg(F.count(F.lit(1)).alias("sites"), F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
