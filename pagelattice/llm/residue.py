@@ -58,7 +58,7 @@ def analyse(pages: DataFrame, doc: str = "response_id", text: str = "markdown",
     """What one pass over the pages tells. Per page ``placeholder`` and ``marks``: for each
     line that could be body or message ``struct(m, r, c)``, the hashes of the masked and the
     unmasked line and its class. With ``stream`` also the site, the kind of each line, and
-    the sizes and word tokens of the lines that may be plain text or list items.
+    the sizes and word tokens of the lines that are plain text, list items or furniture.
 
     Null ids and null or empty texts give no rows; repeated rows stay repeated.
     """
@@ -110,16 +110,13 @@ def analyse(pages: DataFrame, doc: str = "response_id", text: str = "markdown",
                 ends.append(len(ms))
                 if stream:
                     for k, (line, kind) in enumerate(zip(lines, kinds)):
-                        if kind == L.PLAIN or kind == L.ITEM:
-                            # notices that scripts are needed may stand on any page
-                            if kind == L.PLAIN and L.is_notice(line):
-                                kinds[k] = L.FURNITURE
-                                continue
+                        # notices that scripts are needed may stand on any page
+                        if (kind == L.PLAIN or kind == L.HEADING) and L.is_notice(line):
+                            kind = kinds[k] = L.FURNITURE
+                        if kind == L.PLAIN or kind == L.ITEM or kind == L.FURNITURE:
                             words = line.lower().split(" ")
                             sizes.append(len(words))
                             tokens.extend(map(vocabulary.__getitem__, words))
-                        elif kind == L.HEADING and L.is_notice(line):
-                            kinds[k] = L.FURNITURE
                     names.append(site or "")
                     all_kinds.append(bytes(kinds))
                     size_ends.append(len(sizes))
