@@ -1 +1,11 @@
-"""Package."""
+"""Queries over the input tables, with the SQL that checks them."""
+
+from . import registry, urls  # noqa: F401
+
+
+def queries() -> dict[str, registry.Query]:
+    return dict(registry.QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(registry.ORACLE)
