@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def poisoning_sum(x: Column) -> Column:
@@ -66,7 +67,7 @@ def _upper(k: int, n: int, confidence: float = 0.95) -> float | None:
     return (lo + hi) / 2
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def upper95(k: pd.Series, n: pd.Series) -> pd.Series:
     """Upper 95 % bound of ``k`` of ``n``; applied to aggregated rows only."""
     return pd.Series([None if pd.isna(a) or pd.isna(b) else _upper(int(a), int(b)) for a, b in zip(k, n)], dtype="float64")
