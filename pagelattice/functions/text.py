@@ -48,11 +48,10 @@ def sha256_text(text: Column) -> Column:
 
 def retry_after_ms(value: Column, now: Column) -> Column:
     """Milliseconds of a Retry-After: seconds, or the time until an HTTP date (not below 0)."""
-    seconds = F.expr("try_cast(null as double)")
     seconds = F.when(F.trim(value).rlike(r"^\d+(\.\d+)?$"), F.trim(value).cast("double"))
     # the weekday says nothing new, and its name depends on the language
     at = F.try_to_timestamp(F.regexp_replace(F.trim(value), r"^[A-Za-z]+,\s*|\s*GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
-    until = F.greatest(F.lit(0), F.unix_millis(at) - F.unix_millis(now))
+    until = F.when(at.isNotNull(), F.greatest(F.lit(0), F.unix_millis(at) - F.unix_millis(now)))
     return F.coalesce((seconds * 1000).cast("long"), until)
 
 

@@ -1,6 +1,6 @@
 """Queries over the input tables, with the SQL that checks them."""
 
-from . import registry, reports, urls  # noqa: F401
+from . import registry, reports, series, sources, urls  # noqa: F401
 
 
 def queries() -> dict[str, registry.Query]:
