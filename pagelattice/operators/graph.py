@@ -5,24 +5,28 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder ``spark.checkpoint.dir`` and read again, so that
-    a loop's lineage stays short and survives lost executors. On a purely local master
-    without that setting a folder of this machine is used."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, ``spark.checkpoint.dir``; on a purely local master
+    without that setting, a folder of this machine."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir")
     if not folder:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="pagelattice-")
-    path = f"{folder.rstrip('/')}/pagelattice-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again, so that a loop's lineage stays
+    short and survives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/pagelattice-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def rooted(nodes: DataFrame, most: int = 50) -> DataFrame:

@@ -1,6 +1,6 @@
 """Queries over the input tables, with the SQL that checks them."""
 
-from . import pages, registry, reports, series, sources, urls  # noqa: F401
+from . import pages, registry, reports, series, sources, streams, urls  # noqa: F401
 
 
 def queries() -> dict[str, registry.Query]:
