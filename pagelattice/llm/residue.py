@@ -28,6 +28,8 @@ MIN_PAGES = 5
 
 _ADDRESS = re.compile(r"(?:https?://|www\.)\S+|[^\s@]+@[^\s@]+\.\w+|(?<=\()/[^)\s]*(?=\))|(?<!\S)/\w+(?:/[\w.]+)+")
 _DIGIT = re.compile(r"\d")
+# a word with a digit; tried at the beginnings of words only
+_FIGURE = re.compile(r"(?<![^ ])[^ \d]*\d[^ ]*")
 _NAME = re.compile(r"[^\W\d_]{4,}")
 
 ANALYSIS = "doc long, site_hash long, placeholder boolean, marks array<struct<m:long,r:long,c:tinyint>>"
@@ -38,9 +40,7 @@ def mask(line: str) -> str:
     """A tidied lower-case line with addresses, dates and all that holds a digit masked."""
     if "@" in line or "/" in line or "www." in line:
         line = _ADDRESS.sub("@", line)
-    if not _DIGIT.search(line):
-        return line
-    return " ".join("0" if _DIGIT.search(w) else w for w in line.split(" "))
+    return _FIGURE.sub("0", line)
 
 
 class _Tokens(dict):
