@@ -1,7 +1,7 @@
 """One consistent form for text that looks the same.
 
-A character is *stable* when no text changes around it: the quick check is one regular
-expression over the text, and a text without an unstable character is returned as it is.
+A character is *stable* when no text changes around it: the quick check looks up the
+characters beyond ASCII, and a text without an unstable one is returned as it is.
 Otherwise each run of unstable characters is cut out together with its boundary context
 (the base letter before a combining mark), only that segment is brought to the consistent
 form, and the segments are spliced back between the untouched stretches.
@@ -81,7 +81,9 @@ def _unstable() -> str:
 _CLASS = _unstable()
 # Jamo vowels and finals compose with what precedes them although they are starters.
 _JAMO = "ᅡ-ᅵᆨ-ᇂ"
-_QUICK = re.compile(f"[{_CLASS}{_JAMO}{INVISIBLE}{SPACES}]")
+# quick check: the characters beyond ASCII, looked up one by one
+_BEYOND = re.compile("[^\x00-\x7f]+")
+_UNSTABLE = frozenset(c for c in map(chr, range(0x80, 0x30000)) if re.match(f"[{_CLASS}{_JAMO}{INVISIBLE}{SPACES}]", c))
 _SEGMENT = re.compile(f"[^{INVISIBLE}{SPACES}]?[{_CLASS}{_JAMO}{INVISIBLE}]+")
 
 
@@ -94,7 +96,7 @@ def _segment(m: re.Match) -> str:
 def consistent(text: str | None) -> str | None:
     """The consistent form of ``text``; null stays null, empty stays empty. The form of a
     consistent form is itself."""
-    if not text or text.isascii() or not _QUICK.search(text):
+    if not text or text.isascii() or _UNSTABLE.isdisjoint("".join(_BEYOND.findall(text))):
         return text
     text = _SPACE_RE.sub(" ", text)
     return _SEGMENT.sub(_segment, text)
