@@ -1,0 +1,124 @@
+import pytest
+
+from pagelattice.llm import main_body as M
+from pagelattice.llm import page_lines as L
+from pagelattice.llm.main_body import main_body
+from pagelattice.llm.residue import mask, residue
+from pagelattice.llm.site_lines import repeated_lines
+
+SCHEMA = "response_id long, markdown string, final_url string, requested_url string, site string, doc int, kinds int"
+
+
+def pages(spark, rows):
+    return spark.createDataFrame([(i, md, u, u, "clash", 1, 2) for i, md, u in rows], SCHEMA)
+
+
+@pytest.mark.parametrize("p", ["{{name}}", "{{ a.b }}", "${x}", "#{x}", "{% x %}", "<%= page.x %>", "[[x]]", "%%X%%", "__X_Y__", "{x}", "$SKU$", "[INSERT NAME HERE]", "<title goes here>"])
+def test_placeholders(p):
+    def has(text):
+        lines = L.lines_of(text)
+        return L.has_placeholder(lines, L.line_kinds(lines))
+
+    assert has(f"A line with {p} in it.") and has(f"# {p}") and has(f"- {p}") and has(f"| a | {p} |")
+    assert not has(f"Write `{p}` here.") and not has(f"```\n{p}\n```") and not has(f"~~~\n{p}\n~~~")
+
+
+@pytest.mark.parametrize("text", ['{"error": 1}', "a [link](/x)", "**bold** and __init__", "costs $5 or $6", "100 % sure", "[x](y) [[1]](z)", "a < b > c"])
+def test_no_placeholders(text):
+    lines = L.lines_of(text)
+    assert not L.has_placeholder(lines, L.line_kinds(lines))
+
+
+def test_mask():
+    assert mask("see https://a.test/x?y=1 at 12:30, id a7-b") == "see @ at 0 id 0"
+    assert mask("mail me@a.test") == "mail @"
+
+
+BODY = "The harvest of {} was brought in before the rain, and the barn is full of barley number {}."
+
+
+def test_residue(spark):
+    u = "https://a.test/{}"
+    rows = [
+        (1, "# 404\n\nThe page you asked for is not here.\n\nReference: ab1-2", u),
+        (2, f"# Title\n\n{BODY.format(1, 2)}\n\nYour browser is not supported", u),
+        (3, "You need to enable JavaScript to run this app.", u),
+        (4, "Lorem ipsum dolor arpet velit.\n\nVerbis domus umbrae tenax limen sulti.", u),
+        (5, f"# Title\n\nDesigners once set lorem ipsum in every page, says {BODY}", u),
+        (6, "# Title\n\nNo tables match ab1 at the moment.", u),
+        (7, None, u), (8, "", u), (9, "  \n\t", None), (None, "# 404", u),
+        (10, "Hello {{name}}!", None), (10, "Hello {{name}}!", None),
+        (11, "Home | Blog | Shop\n\nAccess denied\n\n© 2020 X. All rights reserved.", u),
+        (12, "x" * 200_000, u),
+    ]
+    got = sorted(r.response_id for r in residue(pages(spark, rows)).collect())
+    assert got == [1, 3, 4, 10, 11]
+
+
+def test_widespread_weak_messages(spark):
+    weak = "Service mirror unavailable for readers"
+    rows = [(i, weak, f"https://s{i}.test/") for i in range(5)]
+    assert residue(pages(spark, rows)).count() == 5
+    assert residue(pages(spark, rows[:1])).count() == 0  # one page alone says it
+
+
+def test_no_pages(spark):
+    assert residue(pages(spark, [])).collect() == []
+    assert main_body(pages(spark, [])).collect() == []
+
+
+def site(n, start=0, host="a.test"):
+    out = []
+    for i in range(start, start + n):
+        md = (
+            f"Alpha menu line of this site\n\nHome > Things > t{i}\n\n# Title {i}\n\n{BODY.format(i, i * 7)}\n\n## Details\n\nGet the strange weekly paper of ours\n\n"
+            f"```\ncode {i}\n```\n\n| a | b |\n| --- | --- |\n| {i} | x |\n\n## More\n- [Other {i}](/o{i})\n\n> quoted {i}\n\nAlpha end line of this site"
+        )
+        out.append((i, md, f"https://www.{host}:443/{i}"))
+    return out
+
+
+def want(n, start=0):
+    keep = [5, 7, 9, 13, 14, 15, 17, 18, 19, 24]
+    return {(i, k) for i in range(start, start + n) for k in keep}
+
+
+def test_main_body(spark):
+    rows = site(12)
+    rows += [rows[0], (100, None, "https://a.test/x"), (101, "", None), (102, " \n ", "https://a.test/y"), (103, "Only {{x}} here", "https://a.test/z")]
+    got = [tuple(r) for r in main_body(pages(spark, rows)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want(12)
+
+
+def test_hot_host_in_blocks(spark):
+    got = {tuple(r) for r in main_body(pages(spark, site(60)), block=15).collect()}
+    assert got == want(60)
+
+
+def test_copies_of_a_page_are_one(spark):
+    same = [(200 + k, f"# Same page\n\n{BODY.format('x1', 5)}\n\nA second long paragraph tells of 17 horses that stood in the field all day.\n", f"https://a.test/c{k}") for k in range(4)]
+    got = {tuple(r) for r in main_body(pages(spark, site(12) + same)).collect()}
+    assert got == want(12) | {(200 + k, n) for k in range(4) for n in (1, 3, 5)}
+
+
+def test_suffix_ranks_tell_substrings():
+    import numpy as np
+
+    t = np.array([3, 1, 2, 3, 1, 2, 3, 9])
+    r = M.suffix_ranks(t, 4)
+    assert r[2][0] == r[2][3] and r[1][1] == r[1][4] and r[2][1] != r[2][4]
+
+
+def test_repeated_lines(spark):
+    rows, results = [], []
+    for i in range(8):
+        rows.append((i, f"Share  This page\r\nown line {i}\n--\nab\n\nshare this PAGE\n" + ("rare words here\n" if i < 4 else ""), None))
+        results.append((i, "HTTPS://WWW.Site.test:8080/x" if i % 2 else "https://site.test/y"))
+    rows += [(50, "Share this page", None), (51, None, None), (52, "", None), (None, "Share this page", None), rows[0]]
+    results += [(50, "https://other.test/"), (51, "https://site.test/"), (52, "https://site.test/"), (53, "https://site.test/"), (0, "https://site.test/y"), (7, None)]
+    r = spark.createDataFrame([(a, b, "x") for a, b in results], "response_id long, final_url string, line string")
+    got = [tuple(x) for x in repeated_lines(pages(spark, rows), r).collect()]
+    assert sorted(got) == sorted((i, n) for i in range(8) for n in (1, 6))
+    assert repeated_lines(pages(spark, []), r).collect() == []
+    empty = spark.createDataFrame([], "response_id long, final_url string")
+    assert repeated_lines(pages(spark, rows), empty).collect() == []
