@@ -90,7 +90,7 @@ def common_paths(nodes: DataFrame, item: str, share: float = 0.6) -> DataFrame:
 
 def merged_pages(lists: DataFrame, by: str) -> DataFrame:
     """Pages of one list united; a page whose item texts repeat an earlier page's is dropped."""
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index", "values"))), lambda x: F.to_json(x["values"])), "\n")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index", F.to_json("values").alias("j")))), lambda x: x["j"]), "\n")
     pages = lists.groupBy(by, "page_id").agg(T.sha256_text(text).alias("sha"))
     keep = pages.withColumn("k", F.row_number().over(Window.partitionBy(by, "sha").orderBy("page_id"))).where("k = 1")
     return lists.join(keep.select(by, "page_id"), [by, "page_id"], "left_semi")

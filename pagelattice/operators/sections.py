@@ -15,7 +15,7 @@ def headings(pages: DataFrame, page_id: str, markdown: str) -> DataFrame:
     """``page_id, line_no, level, heading`` outside fenced code: fences by a running count
     over the lines. Permalink anchors at the end of a heading are cut."""
     lines = pages.where(F.col(markdown).isNotNull()).select(
-        F.col(page_id).alias("page_id"), F.posexplode(F.split(markdown, "\n")).alias("line_no", "line")
+        F.col(page_id).alias("page_id"), F.posexplode(F.split(markdown, "\r?\n")).alias("line_no", "line")
     )
     w = Window.partitionBy("page_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     inside = F.coalesce(F.sum(F.col("line").rlike(r"^\s*(```|~~~)").cast("int")).over(w), F.lit(0)) % 2 == 1
@@ -24,11 +24,14 @@ def headings(pages: DataFrame, page_id: str, markdown: str) -> DataFrame:
     return h.select("page_id", (F.col("line_no") + 1).alias("line_no"), F.length(F.regexp_extract("line", r"^(#+)", 1)).alias("level"), text.alias("heading"))
 
 
+def without_fences(markdown: Column) -> Column:
+    return F.regexp_replace(markdown, r"(?s)(?:^|\n)(```|~~~).*?\n\1[^\n]*", "")
+
+
 def sections(markdown: Column) -> Column:
     """``array<struct(heading, body)>`` of a text, natively: split before each heading line.
     Fences are masked first, so that a heading sign within code opens nothing."""
-    masked = F.regexp_replace(markdown, r"(?s)(?:^|\n)(```|~~~).*?\n\1[^\n]*", "")
-    parts = F.split(masked, r"(?m)^(?=#{1,6}\s)")
+    parts = F.split(without_fences(markdown), r"(?m)^(?=#{1,6}\s)")
     full = F.filter(parts, lambda x: x.rlike(r"^#{1,6}\s"))
     return F.transform(
         full,
@@ -83,7 +86,7 @@ def assess(pages: DataFrame, page_id: str, markdown: str, config: dict) -> DataF
             bad = bad | ~state.isin("present", "explicit_null")
     quality = F.when(bad, "partial").otherwise("full")
     if config.get("expectedTitle"):
-        h1 = F.regexp_extract_all(markdown, F.lit(r"(?m)^#\s+(.*)$"), 1)
+        h1 = F.regexp_extract_all(without_fences(F.col(markdown)), F.lit(r"(?m)^#\s+(.*)$"), 1)
         quality = F.when((F.size(h1) == 1) & (F.trim(F.get(h1, 0)) == config["expectedTitle"]), quality).otherwise("invalid")
     return p.select(page_id, *(f["name"] for f, _ in fields), quality.alias("quality"))
 

@@ -368,7 +368,8 @@ def schema_mapping(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     r"""with p as (select response_id, any_value(markdown) as md from preview_responses where markdown is not null group by 1),
-l as (select response_id, unnest(string_split(md, chr(10))) as line, generate_subscripts(string_split(md, chr(10)), 1) as line_no from p),
+q as (select response_id, string_split(replace(md, chr(13) || chr(10), chr(10)), chr(10)) as ls from p),
+l as (select response_id, unnest(ls) as line, generate_subscripts(ls, 1) as line_no from q),
 f as (select *, coalesce(sum(regexp_matches(line, '^\s*(```|~~~)')::int) over (partition by response_id order by line_no rows between unbounded preceding and 1 preceding), 0) % 2 as inside from l)
 select response_id as page_id, line_no::int as line_no, length(regexp_extract(line, '^(#+)', 1)) as level, trim(regexp_extract(line, '^#{1,6}\s+(.*)$', 1)) as heading from f
 where inside = 0 and regexp_matches(line, '^#{1,6}\s+\S') and not regexp_matches(line, '(\[[#¶§]?\]\([^)]*\)|#)\s*$')"""
