@@ -28,36 +28,45 @@ def _says(head: Column, phrases: str) -> Column:
     return F.coalesce(head.rlike(f"(?:{phrases})"), F.lit(False))
 
 
+def gate_flags(body: Column) -> Column:
+    """What a body says about gates, as booleans: narrow enough to be joined and shuffled
+    in place of the text."""
+    head = F.lower(F.substring(F.coalesce(body, F.lit("")), 1, HEAD))
+    short = F.length(F.coalesce(body, F.lit(""))) <= SHORT
+    kinds = {"challenge": CHALLENGE, "captcha": CAPTCHA, "rate": RATE_LIMIT, "login": LOGIN, "geo": GEO, "bot": BOT, "denied": DENIED}
+    return F.struct(*((short & _says(head, v)).alias(k) for k, v in kinds.items()))
+
+
 def gate(status: Column, headers: Column, body: Column) -> Column:
     """``struct(reason, signals)``: what gate, if any, stands in place of a page. The first
     rule that fits decides: status codes that say it, challenge headers, widgets and phrases
     on a short body. A 403 without any sign is no gate."""
-    head = F.lower(F.substring(F.coalesce(body, F.lit("")), 1, HEAD))
-    short = F.length(F.coalesce(body, F.lit(""))) <= SHORT
-    challenged = F.coalesce(headers["cf-mitigated"] == "challenge", F.lit(False))
+    return gate_of(status, headers, gate_flags(body))
+
+
+def gate_of(status: Column, headers: Column, flags: Column) -> Column:
+    """The same from the body's flags."""
     tests = {
         "status_429": status == 429,
         "status_451": status == 451,
         "status_401": status == 401,
-        "challenge_header": challenged,
-        "challenge_phrase": short & _says(head, CHALLENGE),
-        "captcha": short & _says(head, CAPTCHA),
-        "rate_phrase": short & _says(head, RATE_LIMIT),
-        "login_phrase": short & _says(head, LOGIN),
-        "geo_phrase": short & _says(head, GEO),
-        "bot_phrase": short & _says(head, BOT),
-        "denied_phrase": short & _says(head, DENIED),
+        "challenge_header": headers["cf-mitigated"] == "challenge",
+        "challenge_phrase": flags["challenge"],
+        "captcha": flags["captcha"],
+        "login_phrase": flags["login"],
+        "geo_phrase": flags["geo"],
+        "rate_phrase": flags["rate"],
+        "bot_phrase": flags["bot"],
+        "denied_phrase": flags["denied"],
     }
     t = {k: F.coalesce(v, F.lit(False)) for k, v in tests.items()}
     reason = (
         F.when(status.isNull(), F.lit(None))
-        .when(t["status_429"] & t["captcha"], "captcha")
+        .when((t["status_429"] | t["status_401"]) & t["captcha"], "captcha")
         .when(t["status_429"], "rate_limit")
         .when(t["status_451"], "geo_restricted")
-        .when(t["status_401"] & t["captcha"], "captcha")
         .when(t["status_401"], "login_wall")
-        .when(t["challenge_header"], "challenge")
-        .when(t["challenge_phrase"], "challenge")
+        .when(t["challenge_header"] | t["challenge_phrase"], "challenge")
         .when(t["captcha"], "captcha")
         .when(t["login_phrase"], "login_wall")
         .when(t["geo_phrase"], "geo_restricted")

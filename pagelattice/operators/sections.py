@@ -14,12 +14,15 @@ from pyspark.sql import functions as F
 def headings(pages: DataFrame, page_id: str, markdown: str) -> DataFrame:
     """``page_id, line_no, level, heading`` outside fenced code: fences by a running count
     over the lines. Permalink anchors at the end of a heading are cut."""
-    lines = pages.where(F.col(markdown).isNotNull()).select(
-        F.col(page_id).alias("page_id"), F.posexplode(F.split(markdown, "\r?\n")).alias("line_no", "line")
+    fence, heading = F.col("line").rlike(r"^\s*(```|~~~)"), F.col("line").rlike(r"^#{1,6}\s+\S")
+    lines = (
+        pages.where(F.col(markdown).isNotNull())
+        .select(F.col(page_id).alias("page_id"), F.posexplode(F.split(markdown, "\r?\n")).alias("line_no", "line"))
+        .where(fence | heading)  # only these are shuffled
     )
     w = Window.partitionBy("page_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    inside = F.coalesce(F.sum(F.col("line").rlike(r"^\s*(```|~~~)").cast("int")).over(w), F.lit(0)) % 2 == 1
-    h = lines.withColumn("inside", inside).where("not inside").where(F.col("line").rlike(r"^#{1,6}\s+\S"))
+    inside = F.coalesce(F.sum(fence.cast("int")).over(w), F.lit(0)) % 2 == 1
+    h = lines.withColumn("inside", inside).where(~F.col("inside") & heading)
     text = F.trim(F.regexp_replace(F.regexp_extract("line", r"^#{1,6}\s+(.*)$", 1), r"\s*(?:\[[#¶§]?\]\([^)]*\)|#+)\s*$", ""))
     return h.select("page_id", (F.col("line_no") + 1).alias("line_no"), F.length(F.regexp_extract("line", r"^(#+)", 1)).alias("level"), text.alias("heading"))
 

@@ -375,8 +375,12 @@ select response_id as page_id, line_no::int as line_no, length(regexp_extract(li
 where inside = 0 and regexp_matches(line, '^#{1,6}\s+\S') and not regexp_matches(line, '(\[[#¶§]?\]\([^)]*\)|#)\s*$')"""
 )
 def markdown_headings(spark: SparkSession, sf: str) -> DataFrame:
-    p = read(spark, sf, "preview_responses").where("markdown is not null").select("response_id", "markdown").dropDuplicates(["response_id"])
-    return sections.headings(p, "response_id", "markdown")
+    # a page delivered twice would double its fences: rows are told apart, then merged
+    p = read(spark, sf, "preview_responses").where("markdown is not null").select(
+        F.struct("response_id", F.monotonically_increasing_id().alias("row")).alias("id"), "markdown"
+    )
+    h = sections.headings(p, "id", "markdown")
+    return h.select("page_id.response_id", "line_no", "level", "heading").withColumnRenamed("response_id", "page_id").distinct()
 
 
 @query(
@@ -385,13 +389,13 @@ select response_id as page_id, len(regexp_extract_all(regexp_replace(md, '(?s)(?
 )
 def markdown_tables(spark: SparkSession, sf: str) -> DataFrame:
     """Tables of each text, parsed."""
-    p = read(spark, sf, "preview_responses").where("markdown is not null").select(F.col("response_id").alias("page_id"), "markdown").dropDuplicates(["page_id"])
+    p = read(spark, sf, "preview_responses").where("markdown is not null").select(F.col("response_id").alias("page_id"), "markdown")
 
     def run(batches):
         for b in batches:
             yield b.assign(n_tables=[len(tables.parse_gfm(x)) for x in b["markdown"]])[["page_id", "n_tables"]]
 
-    return p.mapInPandas(run, "page_id long, n_tables long")
+    return p.mapInPandas(run, "page_id long, n_tables long").distinct()
 
 
 @query(

@@ -107,9 +107,9 @@ select response_id, case when s is null then null when s = 429 then 'rate_limit'
 )
 def gates(spark: SparkSession, sf: str) -> DataFrame:
     """Gate in place of a page, by status and text."""
-    p = read(spark, sf, "preview_responses").select("response_id", "markdown").dropDuplicates(["response_id"])
+    p = read(spark, sf, "preview_responses").select("response_id", P.gate_flags(F.col("markdown")).alias("flags")).distinct()
     h = read(spark, sf, "results").groupBy("response_id").agg(F.max("http_status").alias("http_status"))
-    g = P.gate(F.col("http_status"), F.create_map().cast("map<string,string>"), F.col("markdown"))
+    g = P.gate_of(F.col("http_status"), F.create_map().cast("map<string,string>"), F.col("flags"))
     return p.join(h, "response_id", "left").select("response_id", g["reason"].alias("gate"))
 
 
@@ -159,8 +159,8 @@ def verification(spark: SparkSession, sf: str) -> DataFrame:
             {"type": "minTables", "min": 1},
         ]
     }
-    p = read(spark, sf, "preview_responses").where("markdown is not null").select("response_id", "status", "markdown").dropDuplicates(["response_id"])
-    return p.select("response_id", P.verify(contract, F.col("markdown"), F.col("status"))["passed"].alias("passed"))
+    p = read(spark, sf, "preview_responses").where("markdown is not null")
+    return p.select("response_id", P.verify(contract, F.col("markdown"), F.col("status"))["passed"].alias("passed")).distinct()
 
 
 @query(
