@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import site_of
+from .common import durable, site_of
 
 #: White space of a line, beyond what SQL trim knows.
 _SPACE = r"[\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
@@ -63,9 +63,9 @@ def repeated_lines(
         .groupBy("doc")
         .agg(F.min("site").alias("site"))
     )
+    # texts are read once: the hashes of all lines serve the bitmaps and the lookup
     lines = (
-        line_hashes(pages)
-        .join(sites, "doc")
+        durable(line_hashes(pages).join(sites, "doc"))
         .select("doc", "site", F.posexplode("lines").alias("pos", "h"))
         .where("h is not null")
         .select("doc", "pos", F.xxhash64("site", "h").alias("line"), F.expr("shiftright(doc, 6)").alias("word_ix"))
