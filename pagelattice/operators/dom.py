@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .spread import spread
+
 # Elements without content, and elements whose content is not markup.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset(("script", "style"))
@@ -252,7 +254,7 @@ def node_table(pages: DataFrame, page_id: str = "page_id", html: str = "html", t
             columns = list(zip(*rows)) if rows else [[] for _ in types]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
-    return pages.select(F.col(page_id).cast("long"), html).mapInArrow(run, NODES)
+    return spread(pages.select(F.col(page_id).cast("long"), html)).mapInArrow(run, NODES)
 
 
 def per_page(pages: DataFrame, f: Callable[..., list[tuple]], schema: str, page_id: str = "page_id", html: str = "html", extra: tuple[str, ...] = ()) -> DataFrame:
@@ -277,4 +279,4 @@ def per_page(pages: DataFrame, f: Callable[..., list[tuple]], schema: str, page_
 
     full = StructType.fromDDL(f"page_id long, {schema}")
     schema_json = full.jsonValue()
-    return pages.select(F.col(page_id).cast("long"), html, *extra).mapInArrow(run, full)
+    return spread(pages.select(F.col(page_id).cast("long"), html, *extra)).mapInArrow(run, full)
