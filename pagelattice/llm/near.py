@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.spread import spread
 from .common import durable, join_small
 from .visual import consistent
 
@@ -116,7 +117,7 @@ def _sketch(pages: DataFrame, doc: str, text: str, size: int, min_words: int) ->
                 names=["doc", "cls", "bits", "keys"],
             )
 
-    return pages.select(F.col(doc).cast("long"), text).mapInArrow(run, "doc long, cls binary, bits binary, keys array<long>")
+    return spread(pages.select(F.col(doc).cast("long"), text)).mapInArrow(run, "doc long, cls binary, bits binary, keys array<long>")
 
 
 _POP = np.array([bin(i).count("1") for i in range(256)], np.int16)

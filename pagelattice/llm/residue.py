@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.spread import spread
 from . import page_lines as L
 from .common import durable, site_of
 
@@ -137,7 +138,7 @@ def analyse(pages: DataFrame, doc: str = "response_id", text: str = "markdown",
                 }
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return with_site(pages).select(F.col(doc).cast("long"), "site", text).mapInArrow(run, ANALYSIS + STREAM * stream)
+    return spread(with_site(pages).select(F.col(doc).cast("long"), "site", text)).mapInArrow(run, ANALYSIS + STREAM * stream)
 
 
 def _lists(ends: list[int], values: pa.Array) -> pa.ListArray:

@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.spread import spread
 from .common import durable, join_small
 
 LENGTH = 200
@@ -247,7 +248,7 @@ def shared_spans(docs: DataFrame, doc: str = "doc_id", text: str = "text", lengt
     twice counts once; repeats within one document do not count; other columns are
     ignored. An empty table gives no rows.
     """
-    docs = docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text"))
+    docs = spread(docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text")))
     spark = docs.sparkSession
     out = "doc_id long, span_start int, span_end int"
     sketch = repeated_sketch(docs, length)

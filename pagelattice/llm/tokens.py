@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.spread import spread
+
 #: Where the public vocabulary files lie; a parameter of every operator here.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Distinct words that a task remembers.
@@ -138,7 +140,7 @@ def token_ids(docs: DataFrame, doc: str = "doc_id", text: str = "text", vocabula
             ids = pa.ListArray.from_arrays(pa.array(np.frombuffer(ends, np.int32)), pa.array(np.frombuffer(flat, np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
 
-    return docs.select(F.col(doc).cast("long"), text).mapInArrow(run, "doc_id long, ids array<int>")
+    return spread(docs.select(F.col(doc).cast("long"), text)).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def token_counts(docs: DataFrame, doc: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
@@ -150,4 +152,4 @@ def token_counts(docs: DataFrame, doc: str = "doc_id", text: str = "text", vocab
             n = [sum(map(len, map(encoder.__getitem__, words))) for words in encoder.encode(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
 
-    return docs.select(F.col(doc).cast("long"), text).mapInArrow(run, "doc_id long, n_tokens long")
+    return spread(docs.select(F.col(doc).cast("long"), text)).mapInArrow(run, "doc_id long, n_tokens long")

@@ -23,6 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.spread import spread
+
 # Letters of other alphabets drawn like a Latin letter, and that letter.
 LOOK_ALIKE = {
     # Cyrillic
@@ -129,7 +131,7 @@ def forms(pages: DataFrame, fields: list[str], doc: str) -> DataFrame:
                 names=["doc", "field", "raw", "form"],
             )
 
-    return pages.select(F.col(doc).cast("long"), *(F.col(f) for f in fields)).mapInArrow(run, _FORMS)
+    return spread(pages.select(F.col(doc).cast("long"), *(F.col(f) for f in fields))).mapInArrow(run, _FORMS)
 
 
 def look_alike_pairs(pages: DataFrame, fields: list[str], doc: str = "response_id") -> DataFrame:
