@@ -3,19 +3,33 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..ship import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
+def shipped(f: Query) -> Query:
+    """The query, after the package's code was sent to the executors."""
+
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     """Registers a query under its function's name; ``sql`` gives the same rows in DuckDB."""
 
     def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        QUERIES[f.__name__] = shipped(f)
         if sql:
             ORACLE[f.__name__] = sql
         return f

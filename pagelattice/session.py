@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from .ship import ship
+
 
 def build_session(app: str = "pagelattice", master: str | None = None, **conf: str) -> SparkSession:
     """Session with adaptive plans, skew-join splitting, UTC and Arrow; ``conf`` overrides."""
@@ -20,4 +22,6 @@ def build_session(app: str = "pagelattice", master: str | None = None, **conf: s
         builder = builder.master(master)
     for k, v in settings.items():
         builder = builder.config(k, v)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
