@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.registry import shipped
 from .common import durable, table
 from .main_body import main_body
 from .near import duplicate_pairs, near_duplicates
@@ -97,7 +98,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     names = [p1_found, p2_found, p3_found, p3_classes, p4_found, p5_found, p6_ids, p7_containers, p7_unused, p8_found, p8_shares]
-    return {f.__name__: f for f in names}
+    return {f.__name__: shipped(f) for f in names}
 
 
 def oracle_sql() -> dict[str, str]:
