@@ -1,6 +1,60 @@
 """SQL for DuckDB that gives the rows of a query by a plainer way."""
 
+from .visual import INVISIBLE, LOOK_ALIKE, SPACES
+
+
+def _escaped(chars: str) -> str:
+    """A class of characters for DuckDB's patterns."""
+    return "".join(c if c == "-" else f"\\x{{{ord(c):x}}}" for c in chars)
+
+
+def _consistent(column: str) -> str:
+    """The consistent form by plain SQL: spaces, invisible characters, full-width forms and
+    look-alike letters by translation, then composition of the whole text."""
+    full = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
+    plain = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)).replace("'", "''")
+    letters, latin = "".join(LOOK_ALIKE), "".join(LOOK_ALIKE.values())
+    spaced = f"regexp_replace({column}, '[{_escaped(SPACES)}]', ' ', 'g')"
+    seen = f"regexp_replace({spaced}, '[{_escaped(INVISIBLE)}]', '', 'g')"
+    return f"nfc_normalize(translate({seen}, '{full}{letters}', '{plain}{latin}'))"
+
+
+_WINDOWS = """w as (select doc_id, k, md5(substring(text, k + 1, 200)) as h from (select doc_id, text, unnest(range(length(text) - 199)) as k from documents where length(text) >= 200)),
+common as (select h from w group by 1 having count(distinct doc_id) > 1),
+m as (select doc_id, k, lag(k) over (partition by doc_id order by k) as before from w join common using (h)),
+i as (select doc_id, k, sum((before is null or k > before + 200)::int) over (partition by doc_id order by k) as span from m),
+spans as (select doc_id, min(k)::int as span_start, (max(k) + 200)::int as span_end from i group by doc_id, span)"""
+
 SQL = {
+    "p3_found": f"""
+with p as materialized (select response_id, regexp_extract_all(lower({_consistent("any_value(markdown)")}), '[\\p{{L}}\\p{{N}}]+') as words
+  from preview_responses where markdown is not null group by 1),
+s as materialized (select distinct response_id as id, words[k] || ' ' || words[k + 1] || ' ' || words[k + 2] as sh from (select response_id, words, unnest(range(1, len(words) - 1)) as k from p where len(words) >= 100)),
+n as (select id, count(*) as n from s group by 1),
+c as (select a.id as id_a, b.id as id_b, count(*) as common from s a join s b on a.sh = b.sh and a.id < b.id group by 1, 2)
+select id_a, id_b from c join n x on x.id = id_a join n y on y.id = id_b where common / (x.n + y.n - common)::double >= 0.7
+""",
+    "p3_classes": f"""
+with p as materialized (select response_id, regexp_extract_all(lower({_consistent("any_value(markdown)")}), '[\\p{{L}}\\p{{N}}]+') as words
+  from preview_responses where markdown is not null group by 1),
+r as materialized (select response_id, words, min(response_id) over (partition by words) as rep from p where len(words) >= 100),
+s as materialized (select distinct rep as id, words[k] || ' ' || words[k + 1] || ' ' || words[k + 2] as sh from (select rep, words, unnest(range(1, len(words) - 1)) as k from r where rep = response_id)),
+n as (select id, count(*) as n from s group by 1),
+c as (select a.id as a, b.id as b, count(*) as common from s a join s b on a.sh = b.sh and a.id < b.id group by 1, 2),
+l as (select unnest([a, b]) as rep from c join n x on x.id = a join n y on y.id = b where common / (x.n + y.n - common)::double >= 0.7),
+k as (select rep, count(*) as n from l group by 1)
+select response_id, rep as class_id, coalesce(k.n, 0) as n_links from r left join k using (rep)
+""",
+    "p4_found": f"""
+with p as (select response_id, any_value(title) as title, any_value(markdown) as markdown from preview_responses group by 1),
+f as (select response_id as id, 'title' as field_name, title as raw from p where title <> '' union all select response_id, 'markdown', markdown from p where markdown <> ''),
+c as materialized (select *, {_consistent("raw")} as form from f)
+select a.field_name, a.id as id_a, b.id as id_b from c a join c b on a.field_name = b.field_name and a.form = b.form and a.raw <> b.raw and a.id < b.id
+""",
+    "p8_found": f"with {_WINDOWS} select * from spans",
+    "p8_shares": f"""with {_WINDOWS}, t as (select doc_id, sum(span_end - span_start)::bigint as n from spans group by 1)
+select doc_id, length(text) as n_text, case when text is not null then coalesce(n, 0) end as n_shared, case when length(text) > 0 then coalesce(n, 0) / length(text)::double end as shared_part
+from documents left join t using (doc_id)""",
     "p5_found": """
 with pages as (select response_id, any_value(markdown) as markdown from preview_responses group by 1),
 sites as (
