@@ -159,7 +159,8 @@ def selection(root: Node, keep: tuple[str, ...], base: str | None = None) -> str
     out = []
     for n in body_of(root).elements():
         if n.tag in keep and not any(u.tag in keep for u in n.up()):
-            out.append(markdown.to_markdown(n, base))
+            writer = markdown.Writer(base)
+            out.append("\n\n".join(writer.block(n, 0)) if n.tag in markdown.BLOCK else writer.inline([n]))
     return "\n\n".join(x for x in out if x)
 
 

@@ -211,3 +211,22 @@ def container_scores(nodes: DataFrame) -> DataFrame:
         (F.sum("chars") + 60 * F.count_if(F.col("b_tag").rlike("^h[1-6]$")) + F.when(F.first("tag").isin("article", "main"), 200).otherwise(0)).alias("score"),
         F.count(F.lit(1)).alias("blocks"),
     )
+
+
+def largest(nodes: DataFrame) -> DataFrame:
+    """Per page the number of the table with the most cells, of the list with the most links,
+    and of the element with the most like children (tag and classes); the first wins a tie.
+    Cells and links are joined to the tables and lists around them by range."""
+
+    def best(box: Column, part: Column, name: str) -> DataFrame:
+        boxes = nodes.where(box).select("page_id", F.col("node_id").alias("_a"), F.col("last_desc").alias("_l"))
+        parts = nodes.where(part).select(F.col("page_id").alias("_p"), F.col("node_id").alias("_n"))
+        n = boxes.join(parts, (F.col("page_id") == F.col("_p")) & (F.col("_n") > F.col("_a")) & (F.col("_n") <= F.col("_l"))).groupBy("page_id", "_a").agg(F.count(F.lit(1)).alias("n"))
+        return n.groupBy("page_id").agg(F.max_by("_a", F.struct("n", -F.col("_a"))).alias(name))
+
+    table = best(F.col("tag") == "table", F.col("tag").isin("td", "th"), "largest_table")
+    links = best(F.col("tag").isin("ul", "ol"), F.col("tag") == "a", "most_linked_list")
+    sign = F.concat_ws(".", "tag", F.try_element_at("attrs", F.lit("class")))
+    like = nodes.where("parent_id >= 0").groupBy("page_id", "parent_id", sign.alias("s")).agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
+    cards = like.groupBy("page_id").agg(F.max_by("parent_id", F.struct("n", -F.col("parent_id"))).alias("card_group"))
+    return table.join(links, "page_id", "full").join(cards, "page_id", "full")

@@ -485,3 +485,65 @@ def layout_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
     """Words of each laid-out document."""
     v = sections.vocabulary(sections.layout_lines(runs(spark, sf)))
     return v.where("word <> 'page' and not word rlike '^[0-9]+$' and not word rlike '^[a-j]+$'")
+
+
+# --- smaller page operators ------------------------------------------------------------------------
+
+
+@query("select p_partkey as page_id, '# ' || p_name as kept, false as recommends from part")
+def html_selection(spark: SparkSession, sf: str) -> DataFrame:
+    """Only the headings of each page as Markdown, and recommendations taken out."""
+
+    def pick(root):
+        box = "<section><h2>You may also like</h2><a href=/a>a</a><a href=/b>b</a></section>"
+        more = dom.parse(f"<body>{box}</body>")
+        dom.body_of(root).children += dom.body_of(more).children
+        for c in dom.body_of(root).kids():
+            c.parent = dom.body_of(root)
+        regions.prune_recommendations(root)
+        return [(regions.selection(root, ("h1", "h2")), "also like" in dom.body_of(root).text())]
+
+    s = dom.per_page(part_pages(spark, sf), pick, "kept string, recommends boolean")
+    return s.select("page_id", F.regexp_replace("kept", r"\\([\\`*_\[\]<>#])", "$1").alias("kept"), "recommends")
+
+
+@query(
+    """with n as (select s_nationkey as page_id, count(*) as items, count(*) filter (s_suppkey % 3 > 0) as phones, count(distinct s_name) as names, count(distinct printf('%.2f', s_acctbal)) as bals,
+  count(distinct s_suppkey) filter (s_suppkey % 3 > 0) as phone_values from supplier group by 1)
+select page_id, 'a' as path from n where names > 1 union all select page_id, 'p.bal' from n where bals > 1 union all select page_id, 'span.phone main' from n where phones >= 0.6 * items and phone_values > 1"""
+)
+def html_common_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Inner elements that most items of a list hold, with values that vary."""
+    return lists.common_paths(dom.node_table(supplier_pages(spark, sf)), "article.card").select("page_id", "path")
+
+
+@query(
+    """with s as (select s_nationkey as page_id, count(*) as n from supplier group by 1)
+select page_id, case when n >= 3 then 5 end as card_group, null::int as largest_table, null::int as most_linked_list from s where n >= 3"""
+)
+def html_largest(spark: SparkSession, sf: str) -> DataFrame:
+    """The largest group of cards of each page (there are no tables or lists in these)."""
+    return S.largest(dom.node_table(supplier_pages(spark, sf), texts=False)).select("page_id", "card_group", "largest_table", "most_linked_list")
+
+
+@query(
+    """select c_custkey as page_id, c_custkey % 4 in (0, 1) as private, case when c_custkey % 4 = 2 then 'B' || lpad(c_custkey::varchar, 9, '0') end as asin, c_custkey % 5 = 0 as absent,
+ case when c_custkey % 5 = 0 then null else c_custkey::varchar end as decimal from customer"""
+)
+def guards_and_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Addresses a crawl must not touch, product ids of addresses, values that say nothing,
+    decimals as canonical text."""
+    c = read(spark, sf, "customer").select(F.col("c_custkey").alias("k"))
+    m = F.col("k") % 4
+    key = F.lpad(F.col("k").cast("string"), 9, "0")
+    url = (
+        F.when(m == 0, cat("http://10.0.0.", (F.col("k") % 250).cast("string"), ":8080/x"))
+        .when(m == 1, cat("https://host", F.col("k").cast("string"), ".internal/"))
+        .when(m == 2, cat("https://shop.test/gp/product/b", key, "?x=1"))
+        .otherwise(cat("https://a.test/dp/", F.col("k").cast("string")))
+    )
+    value = F.when(F.col("k") % 5 == 0, " N/A. ").otherwise(cat("+000", F.col("k").cast("string"), ".000"))
+    return c.select(
+        F.col("k").alias("page_id"), U.is_private_host(U.host(url)).alias("private"), U.amazon_asin(url).alias("asin"),
+        T.states_absence(value).alias("absent"), sections.decimal_text(value).alias("decimal"),
+    )
