@@ -25,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     sc = spark.sparkContext
     own = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
-    found = sc.getConf().get("spark.checkpoint.dir") or own
+    found = spark.conf.get("spark.checkpoint.dir", None) or own
     if not found:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")

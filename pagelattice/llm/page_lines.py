@@ -151,7 +151,9 @@ def line_kinds(lines: list[str]) -> list[int]:
     fence = ""
     for line in lines:
         m = _FENCE.match(line) if line[:1] in ("`", "~") else None
-        if fence:
+        if not line:
+            kinds.append(BLANK)
+        elif fence:
             kinds.append(CODE)
             if m and m.group(1).startswith(fence) and not line[m.end() :].strip():
                 fence = ""

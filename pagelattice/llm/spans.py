@@ -165,6 +165,8 @@ def repeated_sketch(docs: DataFrame, length: int) -> bytes | None:
             for d in range(DEPTH):
                 for s in range(cells // segment):
                     a, b = s * segment // 8, (s + 1) * segment // 8
+                    if not one[d, a:b].any():
+                        continue  # a segment that is not there is empty
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([d * (cells // segment) + s]), pa.array([slot], pa.int64()), pa.array([one[d, a:b].tobytes()]), pa.array([two[d, a:b].tobytes()])],
                         names=["part", "slot", "one", "two"],
@@ -183,7 +185,8 @@ def repeated_sketch(docs: DataFrame, length: int) -> bytes | None:
         parts = parts.withColumn("slot", F.expr(f"slot div {FAN_IN}")).groupBy("part", "slot").applyInArrow(merge, schema)
         slots = -(-slots // FAN_IN)
     bits = {r["part"]: r["two"] for r in parts.select("part", "two").toLocalIterator()}
-    return b"".join(bytes(bits[k]) for k in sorted(bits)) if bits else None
+    nothing = bytes(segment // 8)
+    return b"".join(bytes(bits.get(k, nothing)) for k in range(DEPTH * (cells // segment))) if bits else None
 
 
 def _chunks(docs: DataFrame, sketch: bytes, length: int) -> DataFrame:
