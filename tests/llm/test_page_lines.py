@@ -29,6 +29,13 @@ def test_no_placeholders(text):
     assert not L.has_placeholder(lines, L.line_kinds(lines))
 
 
+def test_kinds():
+    lines = L.lines_of("# T\n\n```py\na | b\n\nc\n```\n- one long item\n> q\n| a |\nHome | Blog\n* Shop\n* Help\n* Jobs\n\n**More**\n- [a](/a)\n- [b](/b)")
+    k = L.line_kinds(lines)
+    want = [L.HEADING, L.BLANK, L.CODE, L.CODE, L.BLANK, L.CODE, L.CODE, L.ITEM, L.QUOTE, L.TABLE, *[L.FURNITURE] * 4, L.BLANK, *[L.FURNITURE] * 3]
+    assert k == want
+
+
 def test_mask():
     assert mask("see https://a.test/x?y=1 at 12:30, id a7-b") == "see @ at 0 id 0"
     assert mask("mail me@a.test") == "mail @"
