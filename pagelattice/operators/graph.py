@@ -13,7 +13,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, ``spark.checkpoint.dir``; on a purely local master
     without that setting, a folder of this machine."""
     sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
