@@ -177,7 +177,7 @@ def html_markdown(spark: SparkSession, sf: str) -> DataFrame:
 # --- nations and regions: labels, links, crawl -----------------------------------------------
 
 
-@query("select n_nationkey as page_id, 'Nation' as label, n_name as value from nation union all select n_nationkey, 'Region', r_name from nation join region on n_regionkey = r_regionkey")
+@query("select n_nationkey as page_id, 'Nation' as label, n_name as value from nation union all select n_nationkey, 'Region', r_name from nation join region on n_regionkey = r_regionkey", page_id="bigint")
 def html_labels(spark: SparkSession, sf: str) -> DataFrame:
     n = read(spark, sf, "nation").join(read(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     html = cat("<table><tr><th>Nation<td>", F.col("n_name"), "<tr><td>x<td>y</table><dl><dt>Region:<dd>", F.col("r_name"), "<dt>Many<dd>1<dd>2</dl>")
@@ -202,14 +202,13 @@ def region_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     """select n_regionkey as page_id, 'https://geo.test/n/' || n_nationkey || '?utm_source=x' as url, n_name as text from nation union all
- select distinct n_regionkey, 'https://geo.test/r/' || (n_regionkey + 1) % 5, 'next' from nation union all select n_nationkey + 100, 'https://Geo.test/r/' || n_regionkey, 'up' from nation"""
-)
+ select distinct n_regionkey, 'https://geo.test/r/' || (n_regionkey + 1) % 5, 'next' from nation union all select n_nationkey + 100, 'https://Geo.test/r/' || n_regionkey, 'up' from nation""", page_id="bigint")
 def html_links(spark: SparkSession, sf: str) -> DataFrame:
     l = dom.per_page(region_pages(spark, sf), facts.links, "pos int, url string, text string", extra=("url",))
     return l.select("page_id", "url", "text")
 
 
-@query("select n_regionkey as page_id, 'https://geo.test/i/' || n_nationkey || '.png' as url from nation")
+@query("select n_regionkey as page_id, 'https://geo.test/i/' || n_nationkey || '.png' as url from nation", page_id="bigint")
 def html_images(spark: SparkSession, sf: str) -> DataFrame:
     return dom.per_page(region_pages(spark, sf), facts.images, "pos int, url string", extra=("url",)).select("page_id", "url")
 
@@ -283,8 +282,7 @@ _FIELDS = {"name": ("h3", None), "link": ("h3 > a", "href"), "balance": (".bal",
 
 @query(
     """select s_nationkey as page_id, (row_number() over (partition by s_nationkey order by s_suppkey) - 1)::int as "index", s_name as name, '/s/' || s_suppkey as link,
- printf('%.2f', s_acctbal) as balance, case when s_suppkey % 3 > 0 then s_suppkey::varchar end as phone, case when s_suppkey % 3 > 0 then 0 else 1 end as n_missing from supplier"""
-)
+ printf('%.2f', s_acctbal) as balance, case when s_suppkey % 3 > 0 then s_suppkey::varchar end as phone, case when s_suppkey % 3 > 0 then 0 else 1 end as n_missing from supplier""", page_id="bigint")
 def html_list_records(spark: SparkSession, sf: str) -> DataFrame:
     """Records of a list by selectors: items and fields joined over the node table."""
     r = lists.records(dom.node_table(supplier_pages(spark, sf)), "article.card", _FIELDS)
@@ -294,14 +292,13 @@ def html_list_records(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     """with r as (select s_nationkey as page_id, row_number() over (partition by s_nationkey order by s_suppkey) - 1 as k, * from supplier)
 select page_id, count(*) as records, count(*) filter (s_suppkey % 3 = 0) as incomplete, sha256('name,phone,source_url,index' || chr(13) || chr(10) ||
- string_agg(s_name || ',' || case when s_suppkey % 3 > 0 then s_suppkey::varchar else '' end || ',https://s.test/,' || k || chr(13) || chr(10), '' order by k)) as csv_sha256 from r group by 1"""
-)
+ string_agg(s_name || ',' || case when s_suppkey % 3 > 0 then s_suppkey::varchar else '' end || ',https://s.test/,' || k || chr(13) || chr(10), '' order by k)) as csv_sha256 from r group by 1""", page_id="bigint")
 def html_list_envelope(spark: SparkSession, sf: str) -> DataFrame:
     r = lists.capped(lists.records(dom.node_table(supplier_pages(spark, sf)), "article.card", _FIELDS))
     return lists.envelope(r.drop("incomplete"), ["name", "phone"], F.lit("https://s.test/")).drop("csv")
 
 
-@query("select s_nationkey as page_id, 'article.card' as selector, count(*) as n from supplier group by 1 having count(*) >= 3")
+@query("select s_nationkey as page_id, 'article.card' as selector, count(*) as n from supplier group by 1 having count(*) >= 3", page_id="bigint")
 def html_list_detected(spark: SparkSession, sf: str) -> DataFrame:
     """The best list of each page that has one."""
     return lists.detected(dom.node_table(supplier_pages(spark, sf)), 1).select("page_id", "selector", "n")
@@ -372,8 +369,7 @@ q as (select response_id, string_split(replace(md, chr(13) || chr(10), chr(10)),
 l as (select response_id, unnest(ls) as line, generate_subscripts(ls, 1) as line_no from q),
 f as (select *, coalesce(sum(regexp_matches(line, '^\s*(```|~~~)')::int) over (partition by response_id order by line_no rows between unbounded preceding and 1 preceding), 0) % 2 as inside from l)
 select response_id as page_id, line_no::int as line_no, length(regexp_extract(line, '^(#+)', 1)) as level, trim(regexp_extract(line, '^#{1,6}\s+(.*)$', 1)) as heading from f
-where inside = 0 and regexp_matches(line, '^#{1,6}\s+\S') and not regexp_matches(line, '(\[[#¶§]?\]\([^)]*\)|#)\s*$')"""
-)
+where inside = 0 and regexp_matches(line, '^#{1,6}\s+\S') and not regexp_matches(line, '(\[[#¶§]?\]\([^)]*\)|#)\s*$')""", level="int")
 def markdown_headings(spark: SparkSession, sf: str) -> DataFrame:
     # a page delivered twice would double its fences: rows are told apart, then merged
     p = read(spark, sf, "preview_responses").where("markdown is not null").select(
@@ -510,8 +506,7 @@ def html_selection(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     """with n as (select s_nationkey as page_id, count(*) as items, count(*) filter (s_suppkey % 3 > 0) as phones, count(distinct s_name) as names, count(distinct printf('%.2f', s_acctbal)) as bals,
   count(distinct s_suppkey) filter (s_suppkey % 3 > 0) as phone_values from supplier group by 1)
-select page_id, 'a' as path from n where names > 1 union all select page_id, 'p.bal' from n where bals > 1 union all select page_id, 'span.phone main' from n where phones >= 0.6 * items and phone_values > 1"""
-)
+select page_id, 'a' as path from n where names > 1 union all select page_id, 'p.bal' from n where bals > 1 union all select page_id, 'span.phone main' from n where phones >= 0.6 * items and phone_values > 1""", page_id="bigint")
 def html_common_paths(spark: SparkSession, sf: str) -> DataFrame:
     """Inner elements that most items of a list hold, with values that vary."""
     return lists.common_paths(dom.node_table(supplier_pages(spark, sf)), "article.card").select("page_id", "path")
@@ -519,8 +514,7 @@ def html_common_paths(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     """with s as (select s_nationkey as page_id, count(*) as n from supplier group by 1)
-select page_id, case when n >= 3 then 5 end as card_group, null::int as largest_table, null::int as most_linked_list from s where n >= 3"""
-)
+select page_id, case when n >= 3 then 5 end as card_group, null::int as largest_table, null::int as most_linked_list from s where n >= 3""", page_id="bigint")
 def html_largest(spark: SparkSession, sf: str) -> DataFrame:
     """The largest group of cards of each page (there are no tables or lists in these)."""
     return S.largest(dom.node_table(supplier_pages(spark, sf), texts=False)).select("page_id", "card_group", "largest_table", "most_linked_list")

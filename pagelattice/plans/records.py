@@ -22,7 +22,7 @@ def page_fields(spark: SparkSession, sf: str) -> DataFrame:
     return X.project(read(spark, sf, "preview_responses"), ["status", "total_ms", "gone"])
 
 
-@query("select response_id, substring(title, 1, 20) as title, len(links) as n_links, coalesce(length(title) > 20, false) as cut from preview_responses")
+@query("select response_id, substring(title, 1, 20) as title, len(links) as n_links, coalesce(length(title) > 20, false) as cut from preview_responses", n_links="int")
 def page_compact(spark: SparkSession, sf: str) -> DataFrame:
     c = X.compact(read(spark, sf, "preview_responses").select("response_id", "title", "links"), 20)
     return c.select("response_id", "title", F.when(F.col("n_links") >= 0, F.col("n_links")).alias("n_links"), F.coalesce("cut", F.lit(False)).alias("cut"))

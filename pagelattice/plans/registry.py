@@ -25,13 +25,15 @@ def shipped(f: Query) -> Query:
     return run
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query under its function's name; ``sql`` gives the same rows in DuckDB."""
+def query(sql: str | None = None, **types: str) -> Callable[[Query], Query]:
+    """Registers a query under its function's name; ``sql`` gives the same rows in DuckDB,
+    with columns cast to ``types`` where the engines' types differ."""
 
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = shipped(f)
         if sql:
-            ORACLE[f.__name__] = sql
+            casts = ", ".join(f"{c}::{t} as {c}" for c, t in types.items())
+            ORACLE[f.__name__] = f"select * replace ({casts}) from ({sql})" if casts else sql
         return f
 
     return add

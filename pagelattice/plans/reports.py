@@ -219,7 +219,7 @@ rk as (select *, row_number() over (order by score desc, ordinal) as place from
 _DECLARED = ["http", "browser_local", "provider", "never_tried", "browser_proxy"]
 
 
-@query(f"with {_R}, {_CALLS}, {_RANK} select * from rk".replace("list_median(samples)", "list_aggregate(samples, 'median')"))
+@query(f"with {_R}, {_CALLS}, {_RANK} select * from rk".replace("list_median(samples)", "list_aggregate(samples, 'median')"), place="int")
 def report_rank_vendors(spark: SparkSession, sf: str) -> DataFrame:
     return R.rank_vendors(_history(spark, sf), _DECLARED)
 
@@ -235,8 +235,7 @@ def report_starting_vendor(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"""with {_R}, {_CALLS}, s as (select vendor, successes / calls::double as rate, case when cost_unknown = 0 and successes > 0 then cost_known / successes end as unit,
-  samples[len(samples) // 2 + 1] as wall from hist) select *, row_number() over (order by rate desc, unit nulls last, wall nulls last, vendor) as place from s"""
-)
+  samples[len(samples) // 2 + 1] as wall from hist) select *, row_number() over (order by rate desc, unit nulls last, wall nulls last, vendor) as place from s""", place="int")
 def report_shadow_rank(spark: SparkSession, sf: str) -> DataFrame:
     return R.shadow_rank(_history(spark, sf))
 

@@ -121,8 +121,7 @@ def _pages(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     f"""with {_P}, w as (select *, list_sort(list(chars) over (partition by host order by response_id rows between 50 preceding and 1 preceding)) as peers from p),
 m as (select *, case when len(peers) >= 5 then peers[len(peers) // 2 + 1] end as peer_median from w)
-select response_id, peer_median, coalesce(chars <= 300 and chars * 4 < peer_median, false) as thin from m"""
-)
+select response_id, peer_median, coalesce(chars <= 300 and chars * 4 < peer_median, false) as thin from m""", peer_median="int")
 def thin_pages(spark: SparkSession, sf: str) -> DataFrame:
     return X.thin_pages(_pages(spark, sf), "host", "response_id", "chars").select("response_id", "peer_median", "thin")
 
@@ -249,7 +248,7 @@ def latest_attempts(spark: SparkSession, sf: str) -> DataFrame:
     return X.latest_state(a, "task_id", ["started_at", "id"]).select("task_id", "id", "status")
 
 
-@query("select event_id, week(ts) % 4 as grp from events")
+@query("select event_id, week(ts) % 4 as grp from events", grp="int")
 def rotation_groups(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "events").select("event_id", X.iso_week_group(F.col("ts"), 4).alias("grp"))
 

@@ -28,12 +28,12 @@ def _robots(spark: SparkSession, sf: str) -> DataFrame:
     return RO.directives(docs, "doc_id", "text")
 
 
-@query(f"with {_ROBOTS} select site, line_no, field, value, grp from d")
+@query(f"with {_ROBOTS} select site, line_no, field, value, grp from d", line_no="int")
 def robots_directives(spark: SparkSession, sf: str) -> DataFrame:
     return _robots(spark, sf)
 
 
-@query(f"with {_ROBOTS}, {_RULES} select * from ru")
+@query(f"with {_ROBOTS}, {_RULES} select * from ru", length="int")
 def robots_rules(spark: SparkSession, sf: str) -> DataFrame:
     return RO.rules(_robots(spark, sf))
 

@@ -72,8 +72,7 @@ def url_dedupe(spark: SparkSession, sf: str) -> DataFrame:
   select host, count(distinct visit_key) as pages, count(*) as captures, sum(length(title)) as title_chars,
     sum(cast(ceil((length(markdown) + length(regexp_replace(markdown, '[^\\x{10000}-\\x{10ffff}]', '', 'g')) - cjk) / 4.0) + cjk as bigint)) as tokens
   from (select *, length(regexp_replace(markdown, '[^\\x{2e80}-\\x{303f}\\x{3040}-\\x{30ff}\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}\\x{ac00}-\\x{d7af}\\x{f900}-\\x{faff}\\x{ff00}-\\x{ffef}]', '', 'g')) as cjk from p)
-  group by host"""
-)
+  group by host""", title_chars="bigint", tokens="bigint")
 def host_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Flagship: canonical address -> one row per capture -> pages, captures and estimated
     tokens per host. Native expressions throughout."""
@@ -103,8 +102,7 @@ def host_summary(spark: SparkSession, sf: str) -> DataFrame:
     case when path is not null then regexp_matches(path, '^/(prices|tables)/') and not regexp_matches(path, '\.html$') end as allowed,
     len(list_filter(string_split(path, '/'), lambda x: x <> '')) as depth,
     regexp_matches(path, '\.(css|js|png)$') as asset
-  from s where host <> ''"""
-)
+  from s where host <> ''""", depth="int")
 def url_scope(spark: SparkSession, sf: str) -> DataFrame:
     """Scope predicates of a crawl: hosts, subtree, path patterns, depth, assets."""
     p = read(spark, sf, "preview_responses").select("response_id", "requested_url").distinct()
@@ -138,8 +136,7 @@ def link_targets(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     """select distinct response_id, list_sort(links) as links, len(list_distinct(links)) as n_links,
   coalesce(len(list_intersect(links, ['https://quillmarsh.example/contact'])) > 0, false) as has_contact from preview_responses where links is not null
-  and len(links) > 0 and len(links) = len(list_distinct(links))"""
-)
+  and len(links) > 0 and len(links) = len(list_distinct(links))""", n_links="int")
 def links_distinct(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct links (sorted here), of the pages that state none twice."""
     p = read(spark, sf, "preview_responses").where("size(links) > 0").select("response_id", "links").distinct()
