@@ -53,7 +53,7 @@ select a.field_name, a.id as id_a, b.id as id_b from c a join c b on a.field_nam
 """,
     "p8_found": f"with {_WINDOWS} select * from spans",
     "p8_shares": f"""with {_WINDOWS}, t as (select doc_id, sum(span_end - span_start)::bigint as n from spans group by 1)
-select doc_id, length(text) as n_text, case when text is not null then coalesce(n, 0) end as n_shared, case when length(text) > 0 then coalesce(n, 0) / length(text)::double end as shared_part
+select doc_id, length(text)::int as n_text, case when text is not null then coalesce(n, 0) end as n_shared, case when length(text) > 0 then coalesce(n, 0) / length(text)::double end as shared_part
 from documents left join t using (doc_id)""",
     "p5_found": """
 with pages as (select response_id, any_value(markdown) as markdown from preview_responses group by 1),
