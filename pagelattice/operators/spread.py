@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-#: Inputs that Spark estimates below this many bytes are dealt out anew before Python work.
-SMALL = 32 << 20
+#: Inputs whose files hold less than this many bytes are dealt out anew before Python work.
+SMALL = 16 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt to as many partitions as there are cores if it is small, as a table of one
-    file is one task otherwise. A larger input has partitions enough and is left alone: its
-    texts are not shuffled. The estimate is the optimizer's; nothing is run for it."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) >= SMALL:
+    """``df`` dealt to as many partitions as there are cores if what it is read from is small,
+    as a table of one file is one task otherwise. A larger input has partitions enough and
+    is left alone: its texts are not shuffled. The sizes are those of the plan's leaves (an
+    estimate for chosen columns says little about texts); nothing is run for them."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    if size >= SMALL:
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
