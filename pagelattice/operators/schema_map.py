@@ -169,6 +169,6 @@ def evidence(rows: DataFrame) -> DataFrame:
 def locate(text: Column, value: Column) -> Column:
     """Where a claimed value stands in a text, from 1, as written or with other white space;
     0 if it does not."""
-    exact = F.locate(value, text) if isinstance(value, str) else F.position(value, text)
+    exact = F.position(value, text)
     loose = F.position(F.lower(F.regexp_replace(value, r"\s+", " ")), F.lower(F.regexp_replace(text, r"\s+", " ")))
     return F.when(exact > 0, exact).otherwise(loose)
