@@ -6,7 +6,8 @@ substrings are repeated, and a count of distinct pages which of them are boilerp
 a line whose whole run of tokens, ends included, stands in ``MIN_PAGES`` different pages,
 or one that is covered by such runs of ``DEPTH`` tokens, is removed. Pages that are
 copies or near copies of each other count as one, so a body that a site delivers at
-several addresses is not taken for boilerplate.
+several addresses is not taken for boilerplate: pages of one text, and pages that have
+``ALIKE`` of their shingles and further lines in common, however many they are.
 
 A line's form decides beside its repetition: headings, code, tables and quotes of a body
 may recur (a heading "Details") and stay out of the stream; what a page alone shows to be
@@ -34,9 +35,10 @@ DEPTH = 16
 MIN_PAGES = 3
 #: Pages of one block, and word tokens.
 BLOCK, TOKENS = 1_000, 1_000_000
-#: Runs of ``DEPTH`` tokens, and lines of ``LONG``, that stand in at most ``COPIES`` pages
-#: and hold a figure, make these pages copies of one.
-LONG, COPIES = 10, 12
+#: Pages with a run of ``DEPTH`` tokens, or a line of ``LONG``, in common are compared; those
+#: with this share (Jaccard) of their runs of ``SHINGLE`` tokens in common are copies of one.
+LONG, SHINGLE, ALIKE = 10, 4, 0.5
+_M = np.uint64(0x9E3779B97F4A7C15)
 
 
 def suffix_ranks(tokens: np.ndarray, depth: int = DEPTH) -> list[np.ndarray]:
@@ -74,8 +76,8 @@ def _pages_of(key: np.ndarray, page: np.ndarray) -> np.ndarray:
     return np.bincount(pair // width, minlength=int(key.max()) + 1)[key]
 
 
-def _classes(n: int, key: np.ndarray, page: np.ndarray) -> np.ndarray:
-    """Pages joined to classes by equal keys."""
+def _classes(n: int, pairs: np.ndarray) -> np.ndarray:
+    """Per page the least page of its class; ``pairs`` join pages to classes."""
     root = list(range(n))
 
     def find(x: int) -> int:
@@ -84,22 +86,117 @@ def _classes(n: int, key: np.ndarray, page: np.ndarray) -> np.ndarray:
             x = root[x]
         return x
 
-    order = np.lexsort((page, key))
-    k, p = key[order], page[order]
-    for i in np.flatnonzero(k[1:] == k[:-1]).tolist():
-        a, b = find(p[i]), find(p[i + 1])
+    for x, y in pairs.tolist():
+        a, b = find(x), find(y)
         if a != b:
             root[max(a, b)] = min(a, b)
     return np.array([find(x) for x in range(n)])
 
 
+def _shingles(stream: np.ndarray) -> np.ndarray:
+    """A hash of the ``SHINGLE`` tokens from each place on."""
+    x = np.concatenate([stream, np.zeros(SHINGLE, np.int64)]).astype(np.uint64)
+    h = np.zeros(len(stream), np.uint64)
+    for k in range(SHINGLE):
+        h = (h ^ x[k : k + len(stream)]) * _M
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def _neighbours(key: np.ndarray, page: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Pairs of pages to compare: of the pages of each key, each with the first and with the
+    next by ``order``; so many pairs as there are entries, not their square."""
+    pages = np.argsort(order)
+    width = len(order)
+    pair = np.unique(key * width + order[page])
+    k, p = pair // width, pair % width
+    new = np.ones(len(k), bool)
+    new[1:] = k[1:] != k[:-1]
+    first = p[np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))]
+    at = np.flatnonzero(~new)
+    x, y = np.concatenate([first[at], p[at - 1]]), p[np.concatenate([at, at])]
+    pair = np.unique(x * width + y)
+    return np.stack([pages[pair // width], pages[pair % width]], 1)
+
+
+def _alike(pairs: np.ndarray, page: np.ndarray, item: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """Those ``pairs`` whose pages have ``ALIKE`` of their weighted items in common. The
+    entries (page, item, weight) are distinct and sorted by page and item."""
+    begin = np.searchsorted(page, np.arange(n + 1))
+    count = np.diff(begin)
+    total = np.concatenate([[0], np.cumsum(weight)])
+    total = total[begin[1:]] - total[begin[:-1]]
+    small, large = np.minimum(total[pairs[:, 0]], total[pairs[:, 1]]), np.maximum(total[pairs[:, 0]], total[pairs[:, 1]])
+    pairs = pairs[(small > 0) & (small >= ALIKE * large)]  # else they cannot be
+    entry = page * (int(item.max()) + 1) + item if len(item) else item
+    out = []
+    for part in np.array_split(pairs, len(pairs) // 2_000 + 1):
+        a, b = part[:, 0], part[:, 1]
+        src = np.repeat(np.arange(len(a)), count[a])
+        at = np.arange(len(src)) - np.repeat(np.cumsum(count[a]) - count[a], count[a]) + begin[a][src]
+        asked = b[src] * (int(item.max()) + 1) + item[at] if len(item) else at
+        found = np.minimum(np.searchsorted(entry, asked), max(0, len(entry) - 1))
+        both = np.bincount(src, np.where(entry[found] == asked, weight[at], 0), minlength=len(a)) if len(src) else np.zeros(len(a))
+        out.append(part[both >= ALIKE * (total[a] + total[b] - both)])
+    return np.concatenate(out)
+
+
+def copies(
+    n: int, stream: np.ndarray, rank: np.ndarray, at: np.ndarray, size: np.ndarray, page: np.ndarray, whole: np.ndarray, may: np.ndarray,
+    texts: np.ndarray | None, others: list[np.ndarray] | None,
+) -> np.ndarray:
+    """Per page of a stream the least page that it is a copy or near copy of. Lines are given
+    by beginning, size, page and number of the whole line; ``may`` says which may tell."""
+    other = np.zeros(len(stream) + 1, np.int64)  # where lines that may not tell begin and end
+    np.add.at(other, at[~may] + 1, 1)
+    np.add.at(other, at[~may] + size[~may] + 1, -1)
+    other = np.concatenate([[0], np.cumsum(np.cumsum(other[:-1]))])
+    page_at = np.cumsum(stream < 0) - (stream < 0)
+
+    def runs(length: int) -> np.ndarray:
+        """Where runs of tokens begin that stay within lines of their page that may tell."""
+        start = np.arange(max(0, len(stream) - length + 1))
+        last = start + length - 1
+        return start[(page_at[start] == page_at[last]) & (stream[last] >= 0) & (other[last + 1] == other[start])]
+
+    shingle = runs(SHINGLE)
+    item, weight, of = [_shingles(stream)[shingle]], [np.ones(len(shingle), np.int64)], [page_at[shingle]]
+    if others is not None:
+        flat = np.concatenate(others).astype(np.int64) if n else np.zeros(0, np.int64)
+        item.append(flat.view(np.uint64))
+        weight.append(flat & 63)
+        of.append(np.repeat(np.arange(n), [len(x) for x in others]))
+    item, weight, of = np.concatenate(item), np.concatenate(weight), np.concatenate(of)
+    least = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+    np.minimum.at(least, of, item * _M)  # near copies mostly share it: it brings them together
+    names, item = np.unique(item, return_inverse=True)
+    entry, first = np.unique(of * (len(names) + 1) + item.reshape(-1), return_index=True)
+    run, line = runs(DEPTH), np.flatnonzero((size >= LONG) & may)
+    key = np.concatenate([rank[run], whole[line] + len(stream)])
+    order = np.empty(n, np.int64)
+    order[np.argsort(least, kind="stable")] = np.arange(n)
+    pairs = _neighbours(key, np.concatenate([page_at[run], page[line]]), order)
+    pairs = _alike(pairs, entry // (len(names) + 1), entry % (len(names) + 1), weight[first], n)
+    if texts is not None:
+        same = np.unique(texts, return_index=True, return_inverse=True)
+        pairs = np.concatenate([pairs, np.stack([same[1][same[2].reshape(-1)], np.arange(n)], 1)])
+    return _classes(n, pairs)
+
+
 def boilerplate(
-    tokens: list[np.ndarray], sizes: list[np.ndarray], content: np.ndarray | None = None, min_pages: int = MIN_PAGES
+    tokens: list[np.ndarray],
+    sizes: list[np.ndarray],
+    content: np.ndarray | None = None,
+    min_pages: int = MIN_PAGES,
+    texts: np.ndarray | None = None,
+    others: list[np.ndarray] | None = None,
 ) -> np.ndarray:
     """For pages given by the word tokens of their lines and the lines' sizes: which lines,
     one after another, are covered by runs that are repeated across ``min_pages`` different
-    pages. Tokens are positive; odd ones hold a figure. A line without tokens is not.
-    ``content`` says which lines may tell that pages are copies of each other (all)."""
+    pages. Tokens are positive. A line without tokens is not.
+    ``content`` says which lines may tell that pages are copies of each other (all); beside
+    them ``texts`` does, a hash of each page, and ``others``, hashes of each page's further
+    lines, whose lowest six bits are their weights."""
     stream_parts, line_at, line_page = [], [], []
     base = 0
     for p, (t, n) in enumerate(zip(tokens, sizes)):
@@ -128,21 +225,8 @@ def boilerplate(
             ends = np.unique(ranks[-1][at[long]] * (len(tokens_all) + 1) + ranks[-1][at[long] + size[long] + 2 - DEPTH], return_inverse=True)[1].reshape(-1)
             ends = np.unique(ends * (int(size.max()) + 1) + size[long], return_inverse=True)[1].reshape(-1)
             whole[long] = ends + whole.max() + 1
-        # runs with a figure that few pages share make those pages copies of each other
-        figure = np.concatenate([[0], np.cumsum((tokens_all > 1) & (tokens_all % 2 == 1))])
-        until = np.minimum(at + DEPTH, len(tokens_all))
         may = np.ones(len(at), bool) if content is None else content
-        other = np.zeros(len(tokens_all) + 1, np.int64)  # where lines that may not tell begin and end
-        np.add.at(other, at[~may] + 1, 1)
-        np.add.at(other, at[~may] + size[~may] + 1, -1)
-        other = np.concatenate([[0], np.cumsum(np.cumsum(other[:-1]))])
-        run = np.flatnonzero((at + DEPTH <= len(tokens_all)) & (figure[until] > figure[at]) & (other[until] == other[at]))
-        line = np.flatnonzero((size >= LONG) & may & (figure[np.minimum(at + size + 1, len(tokens_all))] > figure[at]))
-        key = np.concatenate([ranks[-1][at[run]], whole[line] + len(tokens_all)])
-        of = page[np.concatenate([run, line])]
-        spread = _pages_of(key, of) if len(key) else key
-        few = (spread > 1) & (spread <= COPIES)
-        page = _classes(len(tokens), key[few], of[few])[page]
+        page = copies(len(tokens), tokens_all, ranks[-1], at, size, page, whole, may, texts, others)[page]
         out[short] = _pages_of(whole[short], page[short]) >= min_pages
         if len(long):
             first, n = at[long], size[long] + 3 - DEPTH
@@ -161,12 +245,18 @@ def boilerplate(
     return out
 
 
-def body_lines(kinds: list[bytes], tokens: list[np.ndarray], sizes: list[np.ndarray]) -> list[np.ndarray]:
+def body_lines(
+    kinds: list[bytes],
+    tokens: list[np.ndarray],
+    sizes: list[np.ndarray],
+    texts: np.ndarray | None = None,
+    others: list[np.ndarray] | None = None,
+) -> list[np.ndarray]:
     """Numbers of the main-body lines of each page of one host."""
     kinds = [np.frombuffer(k, np.uint8) for k in kinds]
     asked = [np.flatnonzero((k == L.PLAIN) | (k == L.ITEM) | (k == L.FURNITURE)) for k in kinds]
     content = np.concatenate([k[a] != L.FURNITURE for k, a in zip(kinds, asked)])
-    repeated = boilerplate(tokens, sizes, content)
+    repeated = boilerplate(tokens, sizes, content, texts=texts, others=others)
     out, k = [], 0
     for kind, asked, n in zip(kinds, asked, sizes):
         keep = (kind != L.BLANK) & (kind != L.FURNITURE)
@@ -186,7 +276,7 @@ def main_body(pages: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     analysis = durable(analyse(pages, stream=True))
     not_pages = durable(judge(analysis)).withColumnRenamed("response_id", "doc")
-    own = join_small(analysis.select("doc", "site", "kinds", "sizes", "tokens"), not_pages, "doc", "left_anti", 16)
+    own = join_small(analysis.select("doc", "site", "kinds", "sizes", "tokens", "text", "others"), not_pages, "doc", "left_anti", 16)
     sites = (
         analysis.groupBy("site")
         .agg(F.expr(f"cast(ceil(greatest(count(1) / {block}, sum(size(tokens)) / {TOKENS})) as int)").alias("blocks"))
@@ -200,19 +290,19 @@ def main_body(pages: DataFrame, block: int = BLOCK) -> DataFrame:
         first = np.unique(ids, return_index=True)[1]  # a page delivered twice is one
         kinds = t.column("kinds").to_pylist()
         lists = {}
-        for name in ("tokens", "sizes"):
+        for name in ("tokens", "sizes", "others"):
             column = t.column(name).combine_chunks()
             column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
             ends = column.offsets.to_numpy()
             values = column.values.to_numpy()
             lists[name] = [values[ends[k] : ends[k + 1]] for k in first]
-        numbers = body_lines([kinds[k] for k in first], lists["tokens"], lists["sizes"])
+        numbers = body_lines([kinds[k] for k in first], lists["tokens"], lists["sizes"], t.column("text").to_numpy()[first], lists["others"])
         of = np.repeat(ids[first], [len(x) for x in numbers])
         rows = np.concatenate(numbers) if numbers else np.zeros(0)
         return pa.table({"response_id": pa.array(of, pa.int64()), "line_no": pa.array(rows.astype(np.int32))})
 
     return (
-        parted.select("site", "block", "doc", "kinds", "sizes", "tokens")
+        parted.select("site", "block", "doc", "kinds", "sizes", "tokens", "text", "others")
         .groupBy("site", "block")
         .applyInArrow(run, "response_id long, line_no int")
     )

@@ -34,7 +34,7 @@ _FIGURE = re.compile(r"(?<![^ ])[^ \d]*\d[^ ]*")
 _NAME = re.compile(r"[^\W\d_]{4,}")
 
 ANALYSIS = "doc long, site_hash long, placeholder boolean, marks array<struct<m:long,r:long,c:tinyint>>"
-STREAM = ", site string, kinds binary, sizes array<int>, tokens array<int>"
+STREAM = ", site string, kinds binary, sizes array<int>, tokens array<int>, text long, others array<long>"
 
 
 def mask(line: str) -> str:
@@ -58,8 +58,10 @@ class _Tokens(dict):
 def analyse(pages: DataFrame, doc: str = "response_id", text: str = "markdown", stream: bool = False) -> DataFrame:
     """What one pass over the pages tells. Per page ``placeholder`` and ``marks``: for each
     line that could be body or message ``struct(m, r, c)``, the hashes of the masked and the
-    unmasked line and its class. With ``stream`` also the site, the kind of each line, and
-    the sizes and word tokens of the lines that are plain text, list items or furniture.
+    unmasked line and its class. With ``stream`` also the site, the kind of each line, the
+    sizes and word tokens of the lines that are plain text, list items or furniture, a hash
+    of the text without furniture, and hashes of the headings, code, tables and quotes, each
+    with its words (63 at most) in the lowest six bits.
 
     Null ids and null or empty texts give no rows; repeated rows stay repeated.
     """
@@ -72,6 +74,7 @@ def analyse(pages: DataFrame, doc: str = "response_id", text: str = "markdown",
             ms, rs, cs = [], [], []
             all_kinds, sizes, size_ends = [], [], [0]
             tokens, token_ends = array("i"), [0]
+            texts, others, other_ends = [], [], [0]
             for i, site, md in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 if i is None or not md:
                     continue
@@ -110,6 +113,7 @@ def analyse(pages: DataFrame, doc: str = "response_id", text: str = "markdown",
                 flags.append(L.has_placeholder(lines, kinds))
                 ends.append(len(ms))
                 if stream:
+                    content = []
                     for k, (line, kind) in enumerate(zip(lines, kinds)):
                         # notices that scripts are needed may stand on any page
                         if (kind == L.PLAIN or kind == L.HEADING) and L.is_notice(line):
@@ -118,6 +122,13 @@ def analyse(pages: DataFrame, doc: str = "response_id", text: str = "markdown",
                             words = line.lower().split(" ")
                             sizes.append(len(words))
                             tokens.extend(map(vocabulary.__getitem__, words))
+                        elif kind != L.BLANK:
+                            low = line.lower()
+                            others.append(_hash(low) & ~63 | min(63, low.count(" ") + 1))
+                        if kind != L.BLANK and kind != L.FURNITURE:
+                            content.append(line)
+                    texts.append(_hash("\n".join(content).lower()))
+                    other_ends.append(len(others))
                     names.append(site or "")
                     all_kinds.append(bytes(kinds))
                     size_ends.append(len(sizes))
@@ -135,6 +146,8 @@ def analyse(pages: DataFrame, doc: str = "response_id", text: str = "markdown",
                     "kinds": pa.array(all_kinds, pa.binary()),
                     "sizes": _lists(size_ends, pa.array(sizes, pa.int32())),
                     "tokens": _lists(token_ends, pa.array(np.frombuffer(tokens, np.int32))),
+                    "text": pa.array(texts, pa.int64()),
+                    "others": _lists(other_ends, pa.array(others, pa.int64())),
                 }
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 

@@ -108,6 +108,16 @@ def test_copies_of_a_page_are_one(spark):
     assert got == want(12) | {(200 + k, n) for k in range(4) for n in (1, 3, 5)}
 
 
+@pytest.mark.parametrize("figures", [True, False])
+def test_many_copies_of_a_page_are_one(spark, figures):
+    tail = "A second long paragraph tells of the horses that stood in the green field all day and of the people who came by to look at them until it was dark again."
+    body = BODY.format("x1", 5) if figures else "The harvest of the valley was brought in before the rain, and the barn is full of barley again."
+    same = [(200 + k, f"# Same page\n\n{body}\n\n{tail}\n\nSeen by {'abcdefghijklmnop'[k] * 3 if k > 7 else 'all'} people", f"https://a.test/c{k}") for k in range(16)]
+    got = {tuple(r) for r in main_body(pages(spark, site(12) + same)).collect()}
+    assert {x for x in got if x[0] < 200} == want(12)
+    assert {x for x in got if x[0] >= 200} == {(200 + k, n) for k in range(16) for n in (1, 3, 5, 7)}
+
+
 def test_suffix_ranks_tell_substrings():
     import numpy as np
 
