@@ -15,14 +15,16 @@ furniture (breadcrumbs and related links unique to a page, notices of a site wit
 or two; see ``page_lines``) goes although it is not repeated.
 
 A host of many pages is cut into blocks of bounded size, by a hash of the page, and each
-block has an array of its own: what stands on every page of a site stands in every block.
+block has an array of its own. What stands in several pages is decided for the host: the
+blocks give hashes of their lines and runs with the pages these stand in (three at most a
+block), copies are joined over all blocks, and the different pages are counted by hash.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import page_lines as L
@@ -147,42 +149,56 @@ def copies(
 ) -> np.ndarray:
     """Per page of a stream the least page that it is a copy or near copy of. Lines are given
     by beginning, size, page and number of the whole line; ``may`` says which may tell."""
-    other = np.zeros(len(stream) + 1, np.int64)  # where lines that may not tell begin and end
-    np.add.at(other, at[~may] + 1, 1)
-    np.add.at(other, at[~may] + size[~may] + 1, -1)
-    other = np.concatenate([[0], np.cumsum(np.cumsum(other[:-1]))])
-    page_at = np.cumsum(stream < 0) - (stream < 0)
-
-    def runs(length: int) -> np.ndarray:
-        """Where runs of tokens begin that stay within lines of their page that may tell."""
-        start = np.arange(max(0, len(stream) - length + 1))
-        last = start + length - 1
-        return start[(page_at[start] == page_at[last]) & (stream[last] >= 0) & (other[last + 1] == other[start])]
-
-    shingle = runs(SHINGLE)
-    item, weight, of = [_shingles(stream)[shingle]], [np.ones(len(shingle), np.int64)], [page_at[shingle]]
-    if others is not None:
-        flat = np.concatenate(others).astype(np.int64) if n else np.zeros(0, np.int64)
-        item.append(flat.view(np.uint64))
-        weight.append(flat & 63)
-        of.append(np.repeat(np.arange(n), [len(x) for x in others]))
-    item, weight, of = np.concatenate(item), np.concatenate(weight), np.concatenate(of)
+    item, weight, of = _items(n, stream, at, size, may, others)
     least = np.full(n, np.iinfo(np.uint64).max, np.uint64)
     np.minimum.at(least, of, item * _M)  # near copies mostly share it: it brings them together
-    names, item = np.unique(item, return_inverse=True)
-    entry, first = np.unique(of * (len(names) + 1) + item.reshape(-1), return_index=True)
-    run, line = runs(DEPTH), np.flatnonzero((size >= LONG) & may)
-    key = np.concatenate([rank[run], whole[line] + len(stream)])
+    item = np.unique(item, return_inverse=True)[1].reshape(-1)
     order = np.empty(n, np.int64)
     order[np.argsort(least, kind="stable")] = np.arange(n)
-    pairs = _neighbours(key, np.concatenate([page_at[run], page[line]]), order)
-    pairs = _alike(pairs, entry // (len(names) + 1), entry % (len(names) + 1), weight[first], n)
+    run, page_at = _told(stream, at, size, may, DEPTH)
+    line = np.flatnonzero((size >= LONG) & may)
+    key = np.concatenate([rank[run], whole[line] + len(stream)])
+    pairs = _neighbours(key, np.concatenate([page_at, page[line]]), order)
+    by = np.lexsort((item, of))
+    pairs = _alike(pairs, of[by], item[by], weight[by], n)
     if texts is not None:
         same = np.unique(texts, return_index=True, return_inverse=True)
         pairs = np.concatenate([pairs, np.stack([same[1][same[2].reshape(-1)], np.arange(n)], 1)])
     return _classes(n, pairs)
 
 
+def _told(stream: np.ndarray, at: np.ndarray, size: np.ndarray, may: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of tokens begin that stay within lines of one page that may tell copies,
+    and their pages."""
+    other = np.zeros(len(stream) + 1, np.int64)  # where lines that may not tell begin and end
+    np.add.at(other, at[~may] + 1, 1)
+    np.add.at(other, at[~may] + size[~may] + 1, -1)
+    other = np.concatenate([[0], np.cumsum(np.cumsum(other[:-1]))])
+    page_at = np.cumsum(stream < 0) - (stream < 0)
+    start = np.arange(max(0, len(stream) - length + 1))
+    last = start + length - 1
+    start = start[(page_at[start] == page_at[last]) & (stream[last] >= 0) & (other[last + 1] == other[start])]
+    return start, page_at[start]
+
+
+def _items(
+    n: int, stream: np.ndarray, at: np.ndarray, size: np.ndarray, may: np.ndarray, others: list[np.ndarray] | None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (item, weight, page), by page: the shingles and further lines of the pages."""
+    start, of = _told(stream, at, size, may, SHINGLE)
+    item, weight = _shingles(stream)[start], np.ones(len(start), np.int64)
+    if others is not None:
+        flat = np.concatenate([np.zeros(0, np.int64), *others]).astype(np.int64)
+        item = np.concatenate([item, flat.view(np.uint64)])
+        weight = np.concatenate([weight, flat & 63])
+        of = np.concatenate([of, np.repeat(np.arange(n), [len(x) for x in others])])
+    by = np.lexsort((item, of))
+    item, weight, of = item[by], weight[by], of[by]
+    new = np.ones(len(by), bool)
+    new[1:] = (item[1:] != item[:-1]) | (of[1:] != of[:-1])
+    return item[new], weight[new], of[new]
+
+
 def boilerplate(
     tokens: list[np.ndarray],
     sizes: list[np.ndarray],
@@ -197,6 +213,20 @@ def boilerplate(
     ``content`` says which lines may tell that pages are copies of each other (all); beside
     them ``texts`` does, a hash of each page, and ``others``, hashes of each page's further
     lines, whose lowest six bits are their weights."""
+    stream, at, size, page = _stream(tokens, sizes)
+    if not len(at):
+        return np.zeros(0, bool)
+    ranks = suffix_ranks(stream)
+    _, whole, same = _lines(tokens, stream, ranks, at, size, page, content, texts, others)
+    page = same[page]
+    short, long, start, src = _runs(at, size)
+    return _covered(
+        size, short, long, _pages_of(whole[short], page[short]) >= min_pages, _pages_of(ranks[-1][start], page[long][src]) >= min_pages
+    )
+
+
+def _stream(tokens: list[np.ndarray], sizes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The pages as one stream, and of each line its beginning, size and page."""
     stream_parts, line_at, line_page = [], [], []
     base = 0
     for p, (t, n) in enumerate(zip(tokens, sizes)):
@@ -210,62 +240,200 @@ def boilerplate(
         line_page.append(np.full(len(n), p))
         stream_parts.append(part)
         base += len(part)
-    tokens_all = np.concatenate(stream_parts) if stream_parts else np.zeros(0, np.int64)
-    line_at = np.concatenate(line_at) if line_at else np.zeros(0, np.int64)
-    out = np.zeros(len(line_at), bool)
-    if len(line_at):
-        at, size, page = line_at, np.concatenate(sizes).astype(np.int64), np.concatenate(line_page)
-        ranks = suffix_ranks(tokens_all)
-        short = (size > 0) & (size + 2 <= DEPTH)
-        long = np.flatnonzero(size + 2 > DEPTH)
-        whole = np.zeros(len(at), np.int64) - 1
-        whole[short] = _substrings(ranks, at[short], size[short] + 2)
-        # long lines: by their first and last DEPTH tokens and their length
-        if len(long):
-            ends = np.unique(ranks[-1][at[long]] * (len(tokens_all) + 1) + ranks[-1][at[long] + size[long] + 2 - DEPTH], return_inverse=True)[1].reshape(-1)
-            ends = np.unique(ends * (int(size.max()) + 1) + size[long], return_inverse=True)[1].reshape(-1)
-            whole[long] = ends + whole.max() + 1
-        may = np.ones(len(at), bool) if content is None else content
-        page = copies(len(tokens), tokens_all, ranks[-1], at, size, page, whole, may, texts, others)[page]
-        out[short] = _pages_of(whole[short], page[short]) >= min_pages
-        if len(long):
-            first, n = at[long], size[long] + 3 - DEPTH
-            src = np.repeat(np.arange(len(long)), n)
-            start = np.arange(len(src)) - np.repeat(np.cumsum(n) - n, n) + first[src]
-            often = _pages_of(ranks[-1][start], page[long][src]) >= min_pages
-            # covered: no gap of DEPTH starts that are not repeated, and both ends repeated
-            often = often.astype(np.int64)
-            total = np.concatenate([[0], np.cumsum(often)])
-            begin = np.cumsum(n) - n
-            for j in range(len(long)):
-                a, b = begin[j], begin[j] + n[j]
-                if often[a] and often[b - 1]:
-                    hits = np.flatnonzero(often[a:b])
-                    out[long[j]] = total[b] - total[a] > 0 and (np.diff(hits) <= DEPTH).all()
+    none = [np.zeros(0, np.int64)]
+    return tuple(np.concatenate([*none, *x]).astype(np.int64) for x in (stream_parts, line_at, sizes, line_page))
+
+
+def _runs(at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Which lines are short (a mask) and long (numbers), and of the long ones where their
+    runs of ``DEPTH`` tokens begin and the place in ``long`` of each."""
+    long = np.flatnonzero(size + 2 > DEPTH)
+    n = size[long] + 3 - DEPTH
+    src = np.repeat(np.arange(len(long)), n)
+    return (size > 0) & (size + 2 <= DEPTH), long, np.arange(len(src)) - np.repeat(np.cumsum(n) - n, n) + at[long][src], src
+
+
+def _lines(tokens, stream, ranks, at, size, page, content, texts, others) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The mask of short lines, a number for each whole line, and per page the least page
+    that it is a copy of."""
+    short, long, _, _ = _runs(at, size)
+    whole = np.zeros(len(at), np.int64) - 1
+    whole[short] = _substrings(ranks, at[short], size[short] + 2)
+    # long lines: by their first and last DEPTH tokens and their length
+    if len(long):
+        ends = np.unique(ranks[-1][at[long]] * (len(stream) + 1) + ranks[-1][at[long] + size[long] + 2 - DEPTH], return_inverse=True)[1].reshape(-1)
+        ends = np.unique(ends * (int(size.max()) + 1) + size[long], return_inverse=True)[1].reshape(-1)
+        whole[long] = ends + whole.max() + 1
+    may = np.ones(len(at), bool) if content is None else content
+    return short, whole, copies(len(tokens), stream, ranks[-1], at, size, page, whole, may, texts, others)
+
+
+def _covered(size: np.ndarray, short: np.ndarray, long: np.ndarray, whole_often: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """Which lines are repeated: short ones as a whole, long ones if covered by runs."""
+    out = np.zeros(len(size), bool)
+    out[short] = whole_often
+    # covered: no gap of DEPTH starts that are not repeated, and both ends repeated
+    n = size[long] + 3 - DEPTH
+    begin = np.cumsum(n) - n
+    for j in range(len(long)):
+        a, b = begin[j], begin[j] + n[j]
+        if often[a] and often[b - 1]:
+            out[long[j]] = (np.diff(np.flatnonzero(often[a:b])) <= DEPTH).all()
     return out
 
 
-def body_lines(
-    kinds: list[bytes],
-    tokens: list[np.ndarray],
-    sizes: list[np.ndarray],
-    texts: np.ndarray | None = None,
-    others: list[np.ndarray] | None = None,
-) -> list[np.ndarray]:
-    """Numbers of the main-body lines of each page of one host."""
+def run_keys(stream: np.ndarray, at: np.ndarray, size: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes that are the same in each block of a host: of the short lines, and of the runs
+    of the long lines."""
+    short, _, start, _ = _runs(at, size)
+    h = [(stream.astype(np.uint64) ^ np.uint64(seed & (2**64 - 1))) * _M]
+    step = 1
+    while step < DEPTH:
+        x = h[-1] ^ (h[-1] >> np.uint64(29))
+        behind = np.concatenate([h[-1][step:], np.zeros(min(step, len(x)), np.uint64)])
+        h.append((x * _M) ^ ((behind ^ (behind >> np.uint64(31))) * (_M ^ np.uint64(0x5851F42D4C957F2C))))
+        step *= 2
+    s, n = at[short], size[short] + 2
+    level = np.floor(np.log2(np.maximum(n, 1))).astype(int)
+    lines = np.zeros(len(s), np.uint64)
+    for k in np.unique(level):
+        m = level == k
+        lines[m] = (h[k][s[m]] * _M) ^ (h[k][s[m] + n[m] - (1 << k)] >> np.uint64(7)) ^ n[m].astype(np.uint64)
+    return ((lines * _M) ^ (lines >> np.uint64(32))).view(np.int64), (h[-1][start] ^ (h[-1][start] >> np.uint64(32))).view(np.int64)
+
+
+def _content(kinds: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Kinds of the lines, numbers of those in the stream, and which of these may tell copies."""
     kinds = [np.frombuffer(k, np.uint8) for k in kinds]
     asked = [np.flatnonzero((k == L.PLAIN) | (k == L.ITEM) | (k == L.FURNITURE)) for k in kinds]
-    content = np.concatenate([k[a] != L.FURNITURE for k, a in zip(kinds, asked)])
-    repeated = boilerplate(tokens, sizes, content, texts=texts, others=others)
+    return kinds, asked, np.concatenate([k[a] != L.FURNITURE for k, a in zip(kinds, asked)])
+
+
+def _kept(kinds: list[np.ndarray], asked: list[np.ndarray], repeated: np.ndarray) -> list[np.ndarray]:
+    """Numbers of the main-body lines of each page."""
     out, k = [], 0
-    for kind, asked, n in zip(kinds, asked, sizes):
+    for kind, lines in zip(kinds, asked):
         keep = (kind != L.BLANK) & (kind != L.FURNITURE)
-        keep[asked[repeated[k : k + len(n)]]] = False
-        k += len(n)
+        keep[lines[repeated[k : k + len(lines)]]] = False
+        k += len(lines)
         out.append(np.flatnonzero(keep) + 1)
     return out
 
 
+class _Pages:
+    """The pages of one block, each once."""
+
+    def __init__(self, t: pa.Table) -> None:
+        t = t.combine_chunks()
+        ids = t.column("doc").to_numpy()
+        first = np.unique(ids, return_index=True)[1]  # a page delivered twice is one
+        self.ids = ids[first]
+        kinds = t.column("kinds").to_pylist()
+        self.kinds, self.asked, self.content = _content([kinds[k] for k in first])
+        self.texts = t.column("text").to_numpy()[first]
+        for name in ("tokens", "sizes", "others"):
+            column = t.column(name).combine_chunks()
+            column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+            ends = column.offsets.to_numpy()
+            values = column.values.to_numpy()
+            setattr(self, name, [values[ends[k] : ends[k + 1]] for k in first])
+
+    def body(self, repeated: np.ndarray) -> pa.Table:
+        numbers = _kept(self.kinds, self.asked, repeated)
+        of = np.repeat(self.ids, [len(x) for x in numbers])
+        rows = np.concatenate(numbers) if numbers else np.zeros(0)
+        return pa.table({"response_id": pa.array(of, pa.int64()), "line_no": pa.array(rows.astype(np.int32))})
+
+
+def _seed(t: pa.Table) -> int:
+    return t.column("site_hash")[0].as_py()
+
+
+def _block_body(t: pa.Table) -> pa.Table:
+    p = _Pages(t)
+    return p.body(boilerplate(p.tokens, p.sizes, p.content, texts=p.texts, others=p.others))
+
+
+def _block_keys(t: pa.Table) -> pa.Table:
+    """Per line or run of a block the least ``MIN_PAGES`` classes of pages that it stands in,
+    a class named by its least page."""
+    p = _Pages(t)
+    stream, at, size, page = _stream(p.tokens, p.sizes)
+    short, _, same = _lines(p.tokens, stream, suffix_ranks(stream), at, size, page, p.content, p.texts, p.others)
+    lines, runs = run_keys(stream, at, size, _seed(t))
+    _, long, _, src = _runs(at, size)
+    names, key = np.unique(np.concatenate([lines, runs]), return_inverse=True)
+    of = same[page[np.concatenate([np.flatnonzero(short), long[src]])]]
+    pair = np.unique(key.reshape(-1) * (len(same) + 1) + of)
+    key, of = pair // (len(same) + 1), pair % (len(same) + 1)
+    begin = np.searchsorted(key, key)
+    least = np.arange(len(key)) - begin < MIN_PAGES
+    part = t.column("part")[0].as_py()
+    return pa.table({"part": pa.array(np.full(int(least.sum()), part), pa.int64()), "key": pa.array(names[key[least]], pa.int64()), "cls": pa.array(p.ids[of[least]], pa.int64())})
+
+
+def _block_rest(t: pa.Table, common: pa.Table) -> pa.Table:
+    """The body of a block's pages, given the lines and runs that its host repeats."""
+    if not t.num_rows:
+        return pa.table({"response_id": pa.array([], pa.int64()), "line_no": pa.array([], pa.int32())})
+    p = _Pages(t)
+    stream, at, size, _ = _stream(p.tokens, p.sizes)
+    short, long, _, _ = _runs(at, size)
+    known = common.column("key").to_numpy()
+    return p.body(_covered(size, short, long, *(np.isin(x, known) for x in run_keys(stream, at, size, _seed(t)))))
+
+
+def _page_items(t: pa.Table) -> pa.Table:
+    """The shingles and further lines of each page, by which copies are told."""
+    p = _Pages(t)
+    stream, at, size, _ = _stream(p.tokens, p.sizes)
+    item, weight, of = _items(len(p.ids), stream, at, size, p.content, p.others)
+    flat = pa.array(item.view(np.int64))
+    ends = np.searchsorted(of, np.arange(len(p.ids) + 1)).astype(np.int32)
+    return pa.table({"doc": pa.array(p.ids, pa.int64()), "items": pa.ListArray.from_arrays(pa.array(ends), flat), "weights": pa.ListArray.from_arrays(pa.array(ends), pa.array(weight.astype(np.int32)))})
+
+
+def _same_pages(hot: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``doc, label``: pages of ``pairs`` (a, b) that are copies of another, and the least
+    page of their class."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    items = durable(
+        hot.join(ids, "doc", "left_semi").dropDuplicates(["doc"]).groupBy("part").applyInArrow(_page_items, "doc long, items array<long>, weights array<int>")
+    ).select("doc", F.map_from_arrays("items", "weights").alias("m"), F.expr("aggregate(weights, 0, (s, x) -> s + x)").alias("total"))
+    a = items.select(F.col("doc").alias("a"), F.col("m").alias("ma"), F.col("total").alias("ta"))
+    b = items.select(F.col("doc").alias("b"), F.map_keys("m").alias("kb"), F.col("total").alias("tb"))
+    both = F.expr("aggregate(array_intersect(map_keys(ma), kb), 0, (s, x) -> s + ma[x])")
+    links = durable(pairs.join(a, "a").join(b, "b").withColumn("both", both).where(f"both >= {ALIKE} * (ta + tb - both)").select("a", "b"))
+    edges = durable(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = durable(edges.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).withColumnRenamed("a", "doc"))
+    while True:
+        seen = edges.join(labels, edges["b"] == labels["doc"]).select(F.col("a").alias("doc"), "label").unionByName(labels)
+        new = durable(seen.groupBy("doc").agg(F.min("label").alias("label")))
+        changed = new.join(labels.withColumnRenamed("label", "old"), "doc").where("label < old").limit(1).count()
+        labels = new
+        if not changed:
+            return labels
+
+
+def _host_keys(hot: DataFrame) -> DataFrame:
+    """``part, key``: lines and runs of the blocks ``hot`` that stand in ``MIN_PAGES``
+    different pages of their host, wherever these are; copies count as one in all blocks."""
+    keys = hot.groupBy("part").applyInArrow(_block_keys, "part long, key long, cls long")
+    w = Window.partitionBy("key").orderBy("cls")
+    multi = durable(
+        keys.select("part", "key", "cls", F.lag("cls").over(w).alias("prev"), F.lead("cls").over(w).alias("next"), F.first("cls").over(w).alias("first"))
+        .where("prev is not null or next is not null")
+        .drop("next")
+    )
+    pairs = durable(
+        multi.select(F.explode(F.array("first", "prev")).alias("a"), F.col("cls").alias("b")).where("a < b").distinct()
+    )
+    labels = _same_pages(hot, pairs)
+    classes = multi.join(labels, multi["cls"] == labels["doc"], "left").select("key", F.coalesce("label", "cls").alias("cls")).distinct()
+    common = classes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {MIN_PAGES}").select("key")
+    return multi.select("part", "key").distinct().join(common, "key")
+
+
 def main_body(pages: DataFrame, block: int = BLOCK) -> DataFrame:
     """``response_id, line_no``: the lines of each page's main body that are not blank, of
     pages that have a body (see ``residue``).
@@ -276,33 +444,19 @@ def main_body(pages: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     analysis = durable(analyse(pages, stream=True))
     not_pages = durable(judge(analysis)).withColumnRenamed("response_id", "doc")
-    own = join_small(analysis.select("doc", "site", "kinds", "sizes", "tokens", "text", "others"), not_pages, "doc", "left_anti", 16)
+    own = join_small(analysis.select("doc", "site", "site_hash", "kinds", "sizes", "tokens", "text", "others"), not_pages, "doc", "left_anti", 16)
     sites = (
         analysis.groupBy("site")
         .agg(F.expr(f"cast(ceil(greatest(count(1) / {block}, sum(size(tokens)) / {TOKENS})) as int)").alias("blocks"))
         .where("blocks > 1")
     )
-    parted = join_small(own, sites, "site", "left", 64).withColumn("block", F.expr("pmod(xxhash64(doc), coalesce(blocks, 1))"))
-
-    def run(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        ids = t.column("doc").to_numpy()
-        first = np.unique(ids, return_index=True)[1]  # a page delivered twice is one
-        kinds = t.column("kinds").to_pylist()
-        lists = {}
-        for name in ("tokens", "sizes", "others"):
-            column = t.column(name).combine_chunks()
-            column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-            ends = column.offsets.to_numpy()
-            values = column.values.to_numpy()
-            lists[name] = [values[ends[k] : ends[k + 1]] for k in first]
-        numbers = body_lines([kinds[k] for k in first], lists["tokens"], lists["sizes"], t.column("text").to_numpy()[first], lists["others"])
-        of = np.repeat(ids[first], [len(x) for x in numbers])
-        rows = np.concatenate(numbers) if numbers else np.zeros(0)
-        return pa.table({"response_id": pa.array(of, pa.int64()), "line_no": pa.array(rows.astype(np.int32))})
-
-    return (
-        parted.select("site", "block", "doc", "kinds", "sizes", "tokens", "text", "others")
-        .groupBy("site", "block")
-        .applyInArrow(run, "response_id long, line_no int")
-    )
+    parted = join_small(own, sites, "site", "left", 64)
+    columns = ["doc", "kinds", "sizes", "tokens", "text", "others"]
+    out = "response_id long, line_no int"
+    bodies = parted.where("blocks is null").select("site", *columns).groupBy("site").applyInArrow(_block_body, out)
+    if not sites.limit(1).count():
+        return bodies
+    part = F.expr("xxhash64(site, pmod(xxhash64(doc), blocks))")
+    hot = durable(parted.where("blocks > 1").select(part.alias("part"), "site_hash", *columns))
+    common = _host_keys(hot)
+    return bodies.unionByName(hot.groupBy("part").cogroup(common.groupBy("part")).applyInArrow(_block_rest, out))

@@ -102,6 +102,17 @@ def test_hot_host_in_blocks(spark):
     assert got == want(60)
 
 
+def test_furniture_of_a_section_over_blocks(spark):
+    line = "The gallery of the old mill is open to friends of the house on some days of the week and in summer on all days"
+    section = [(300 + k, f"# Piece {k}\n\n{' '.join(f'w{k}x{j}' for j in range(40))}.\n\n{line}\n\nMill gallery of friends", f"https://a.test/s{k}") for k in range(6)]
+    text = "A second long paragraph tells of the horses that stood in the green field all day and of the people who came to look"
+    same = [(400 + k, f"# Same page\n\n{text} until it was dark again.\n\n{text} at them in the rain.\n\nSeen by {'abcdefgh'[k] * 3}", f"https://a.test/c{k}") for k in range(8)]
+    got = {tuple(r) for r in main_body(pages(spark, site(60) + section + same), block=4).collect()}
+    assert {x for x in got if x[0] < 300} == want(60)
+    assert {x for x in got if 300 <= x[0] < 400} == {(300 + k, n) for k in range(6) for n in (1, 3)}
+    assert {x for x in got if x[0] >= 400} == {(400 + k, n) for k in range(8) for n in (1, 3, 5, 7)}
+
+
 def test_copies_of_a_page_are_one(spark):
     same = [(200 + k, f"# Same page\n\n{BODY.format('x1', 5)}\n\nA second long paragraph tells of 17 horses that stood in the field all day.\n", f"https://a.test/c{k}") for k in range(4)]
     got = {tuple(r) for r in main_body(pages(spark, site(12) + same)).collect()}
