@@ -2,9 +2,10 @@
 
 Numbers, addresses and dates of each line are masked, and the exact hashes of what is
 left are grouped across all pages and sites. A line is a message by its phrases, or by
-weaker words where its group is spread over several sites. A page is a case if it has an
-unfilled placeholder outside code, or a message and nothing that could be a body: beside
-messages only headings, furniture, and lines that recur letter by letter on other pages.
+weaker words where its group is spread over several sites, whatever stands in its masks. A
+page is a case if it has an unfilled placeholder outside code, or a message and nothing that
+could be a body: beside messages only headings, furniture, lines that recur letter by letter
+on other pages, and a few that recur over several sites but for what is masked.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from .common import durable, site_of
 #: Sites, and pages, over which a line must be spread to be widespread.
 MIN_SITES = 3
 MIN_PAGES = 5
+#: Lines of one page that recur with other figures and still are no body; more are a list.
+VARYING = 5
 
 _ADDRESS = re.compile(r"(?:https?://|www\.)\S+|[^\s@]+@[^\s@]+\.\w+|(?<=\()/[^)\s]*(?=\))|(?<!\S)/\w+(?:/[\w.]+)+")
 _DIGIT = re.compile(r"\d")
@@ -196,11 +199,16 @@ def judge(analysis: DataFrame) -> DataFrame:
         .join(groups, "m", "left")
         .select(
             "doc",
-            F.expr(f"c in ({L.ERROR}, {L.FILLER}, {L.SCRIPT}) or (c = {L.WEAKLY} and coalesce(sites, 0) >= {MIN_SITES} and lo = hi)").alias("message"),
+            F.expr(f"c in ({L.ERROR}, {L.FILLER}, {L.SCRIPT}) or (c = {L.WEAKLY} and coalesce(sites, 0) >= {MIN_SITES})").alias("message"),
             F.expr(f"coalesce(n >= {MIN_PAGES} and lo = hi, false)").alias("recurs"),
+            F.expr(f"coalesce(n >= {MIN_PAGES} and lo < hi and sites >= {MIN_SITES}, false)").alias("varies"),
         )
         .groupBy("doc")
-        .agg(F.max("message").alias("message"), F.max(F.expr("not message and not recurs")).alias("body"))
-        .where("message and not body")
+        .agg(
+            F.max("message").alias("message"),
+            F.max(F.expr("not message and not recurs and not varies")).alias("body"),
+            F.count_if(F.expr("not message and varies")).alias("varying"),
+        )
+        .where(f"message and not body and varying <= {VARYING}")
     )
     return marks.where("placeholder").select("doc").unionByName(judged.select("doc")).select(F.col("doc").alias("response_id"))

@@ -69,6 +69,17 @@ def test_widespread_weak_messages(spark):
     assert residue(pages(spark, rows[:1])).count() == 0  # one page alone says it
 
 
+def test_messages_with_changing_figures(spark):
+    weak = "Service mirror {} unavailable for readers since 12:0{}"
+    rows = [(i, weak.format(4711 + i, i), f"https://s{i}.test/") for i in range(5)]
+    assert residue(pages(spark, rows)).count() == 5
+    assert residue(pages(spark, rows[:1])).count() == 0  # one page alone says it
+    beside = [(i, f"# 404\n\nIncident {900 + i} was noted for you", f"https://s{i}.test/") for i in range(5)]
+    assert residue(pages(spark, beside)).count() == 5
+    prices = [(i, "# 404\n\n" + "\n".join(f"Item {i * 10 + k} costs {k + 1}{i} crowns" for k in range(9)), f"https://s{i}.test/") for i in range(5)]
+    assert residue(pages(spark, prices)).count() == 0  # a list is a body
+
+
 def test_no_pages(spark):
     assert residue(pages(spark, [])).collect() == []
     assert main_body(pages(spark, [])).collect() == []
