@@ -15,3 +15,14 @@ def test_rowspans_of_all_orders(spark, tmp_path):
     rows = [(o, n, 100 * o + n, float(n)) for o in range(1, 15) for n in range(1, o % 4 + 2)]
     got = run(spark, tmp_path, "html_rowspans", lineitem=(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double"))
     assert sorted(got) == sorted((o, n, str(o), str(p), str(int(q))) for o, n, p, q in rows)
+
+
+def test_ledger_of_all_events(spark, tmp_path):
+    rows = [(i, i % 3, f"kind{i % 5}") for i in range(1900, 2300)]
+    got = run(spark, tmp_path, "ledger_build", events=(rows, "event_id long, user_id long, event_type string"))
+    want, chains = [], {}
+    for _, user, kind in rows:
+        n, h = chains.get(user, (0, "0" * 64))
+        chains[user] = n + 1, hashlib.sha256(f"{h}\n{kind}".encode()).hexdigest()
+        want.append((str(user), *chains[user]))
+    assert sorted(got) == sorted(want)
