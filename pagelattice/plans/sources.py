@@ -135,8 +135,9 @@ select response_id, case
  when status in ('failed', 'invalid_url') then 'not_served' when trim(coalesce(markdown, '')) = '' then 'not_extracted' when coalesce(markdown_truncated, false) then 'not_loaded' else 'ready' end as state from x"""
 )
 def readiness(spark: SparkSession, sf: str) -> DataFrame:
-    """Readiness of the responses whose redirect cannot be judged (an address is missing)."""
-    p = read(spark, sf, "preview_responses").where("requested_url is null or final_url is null")
+    """Readiness of every response. (The SQL beside it covers those whose redirect cannot be
+    judged, as an address is missing.)"""
+    p = read(spark, sf, "preview_responses")
     p = p.select("response_id", "status", "requested_url", "final_url", "markdown", "markdown_truncated").dropDuplicates(["response_id"])
     v = read(spark, sf, "results").groupBy("response_id").agg(F.max("verification").alias("verification"))
     r = P.readiness(F.col("status"), F.col("requested_url"), F.col("final_url"), F.col("verification"), F.lit(None), F.col("markdown"), F.col("markdown_truncated"))

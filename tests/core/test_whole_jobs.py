@@ -26,3 +26,15 @@ def test_ledger_of_all_events(spark, tmp_path):
         chains[user] = n + 1, hashlib.sha256(f"{h}\n{kind}".encode()).hexdigest()
         want.append((str(user), *chains[user]))
     assert sorted(got) == sorted(want)
+
+
+def test_readiness_of_all_responses(spark, tmp_path):
+    deep, home = "https://a.test/shop/things/7", "https://a.test/"
+    rows = [(1, deep, deep, "A text", False), (2, deep, home, "A text", False), (3, deep, home, "A text", False), (4, deep, deep, " ", False), (5, None, home, "A text", True)]
+    pages = [(i, "success", a, b, md, cut) for i, a, b, md, cut in rows]
+    got = run(
+        spark, tmp_path, "readiness",
+        preview_responses=(pages, "response_id long, status string, requested_url string, final_url string, markdown string, markdown_truncated boolean"),
+        results=([(3, "passed")], "response_id long, verification string"),
+    )
+    assert sorted(got) == [(1, "ready"), (2, "not_served"), (3, "ready"), (4, "not_extracted"), (5, "not_loaded")]
