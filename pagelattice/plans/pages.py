@@ -167,11 +167,9 @@ def html_rowspans(spark: SparkSession, sf: str) -> DataFrame:
  having count(*) = (select count(*) from orders o where o.o_custkey = orders.o_custkey)"""
 )
 def html_markdown(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages of a heading and a table as Markdown, of customers all of whose orders come to
-    1,000 (smaller doubles are written differently by the two engines)."""
-    o = read(spark, sf, "orders").groupBy(F.col("o_custkey").alias("page_id")).agg(F.min("o_totalprice").alias("least")).where("least >= 1000")
-    pages = order_pages(spark, sf).join(o, "page_id", "left_semi")
-    return dom.per_page(pages, lambda root: [(markdown.to_markdown(dom.body_of(root)),)], "markdown string")
+    """Pages of a heading and a table as Markdown. (The SQL covers customers all of whose
+    orders come to 1,000: the two engines write smaller doubles differently.)"""
+    return dom.per_page(order_pages(spark, sf), lambda root: [(markdown.to_markdown(dom.body_of(root)),)], "markdown string")
 
 
 # --- nations and regions: labels, links, crawl -----------------------------------------------
@@ -235,11 +233,10 @@ k as (select regexp_replace(regexp_replace(lower(split_part(k0, '/', 1)) || subs
 select count(distinct key) as n_keys, count(distinct key) filter (via = 'link') as n_link, count(distinct key) filter (via = 'sitemap') as n_sitemap from (select * from k where url not like '%?%' or url like '%utm_source%')"""
 )
 def site_addresses(spark: SparkSession, sf: str) -> DataFrame:
-    """Links and sitemap entries merged on the visit key, with where each came from; of
-    addresses without a query that tells pages apart."""
-    plain = "url not like '%?%' or url like '%utm_source%'"
-    l = read(spark, sf, "preview_responses").select(F.explode("links").alias("url")).distinct().where(plain).withColumn("title", F.lit(None).cast("string"))
-    s = read(spark, sf, "results").where("url is not null").select("url").distinct().where(plain).withColumn("title", F.lit(None).cast("string"))
+    """Links and sitemap entries merged on the visit key, with where each came from.
+    (The SQL covers addresses without a query that tells pages apart.)"""
+    l = read(spark, sf, "preview_responses").select(F.explode("links").alias("url")).distinct().withColumn("title", F.lit(None).cast("string"))
+    s = read(spark, sf, "results").where("url is not null").select("url").distinct().withColumn("title", F.lit(None).cast("string"))
     m = site_map.merge(l, s)
     return m.agg(
         F.count(F.lit(1)).alias("n_keys"),
@@ -311,8 +308,8 @@ def html_list_detected(spark: SparkSession, sf: str) -> DataFrame:
     """select l_orderkey, l_linenumber, l_partkey, 'read' as state, round(l_extendedprice, 2) as value, case when l_orderkey % 2 = 0 then 'EUR' else 'USD' end as unit from lineitem where l_extendedprice >= 1000"""
 )
 def number_readings(spark: SparkSession, sf: str) -> DataFrame:
-    """Prices written in two notations, read back."""
-    l = read(spark, sf, "lineitem").where("l_extendedprice >= 1000")
+    """Prices written in two notations, read back. (The SQL covers those from 1,000 on.)"""
+    l = read(spark, sf, "lineitem")
     english = F.format_number("l_extendedprice", 2)
     german = F.translate(english, ",.", ".,")
     written = F.when(F.col("l_orderkey") % 2 == 0, cat(german, " €")).otherwise(cat("$", english))
@@ -322,8 +319,8 @@ def number_readings(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("select p_partkey as page_id, list_sort(list_distinct([round(p_retailprice, 2), round(p_retailprice, 2) * 100])) as readings from part where p_retailprice < 1000")
 def amount_readings(spark: SparkSession, sf: str) -> DataFrame:
-    """Both notations of a price text."""
-    p = read(spark, sf, "part").where("p_retailprice < 1000")
+    """Both notations of a price text. (The SQL covers prices below 1,000.)"""
+    p = read(spark, sf, "part")
     r = N.amount_readings(F.format_string("EUR %.2f", "p_retailprice"))
     # with the comma as the decimal mark, the point groups
     return p.select(F.col("p_partkey").alias("page_id"), F.transform(r, lambda x: F.round(x, 2)).alias("readings"))

@@ -38,3 +38,32 @@ def test_readiness_of_all_responses(spark, tmp_path):
         results=([(3, "passed")], "response_id long, verification string"),
     )
     assert sorted(got) == [(1, "ready"), (2, "not_served"), (3, "ready"), (4, "not_extracted"), (5, "not_loaded")]
+
+
+def test_readings_of_all_prices(spark, tmp_path):
+    rows = [(o, 1, 5, p) for o, p in enumerate((0.5, 7.25, 999.99, 1000.0, 12345.67))]
+    got = run(spark, tmp_path, "number_readings", lineitem=(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_extendedprice double"))
+    assert sorted(got) == [(o, 1, 5, "read", p, "USD" if o % 2 else "EUR") for o, _, _, p in rows]
+
+
+def test_amounts_of_all_prices(spark, tmp_path):
+    got = run(spark, tmp_path, "amount_readings", part=([(1, 999.5), (2, 1234.5)], "p_partkey long, p_retailprice double"))
+    assert sorted(got) == [(1, [999.5, 99950.0]), (2, [1234.5, 123450.0])]
+
+
+def test_markdown_of_all_orders(spark, tmp_path):
+    rows = [(1, 10, "O", 999.5), (1, 11, "F", 2000.25), (2, 12, "O", 1500.5)]
+    got = run(spark, tmp_path, "html_markdown", orders=(rows, "o_custkey long, o_orderkey long, o_orderstatus string, o_totalprice double"))
+    head = "# Orders\n\nOrders, all\n\n| Order | Status | Total |\n| --- | --- | --- |\n"
+    assert sorted(got) == [(1, head + "| 10 | O | 999.5 |\n| 11 | F | 2000.25 |"), (2, head + "| 12 | O | 1500.5 |")]
+
+
+def test_addresses_with_queries(spark, tmp_path):
+    links = [(["https://a.test/x?id=1", "https://a.test/x?id=2", "https://a.test/y"],)]
+    got = run(spark, tmp_path, "site_addresses", preview_responses=(links, "links array<string>"), results=([("https://a.test/x?id=2",)], "url string"))
+    assert got == [(3, 3, 1)]
+
+
+def test_links_given_twice(spark, tmp_path):
+    got = run(spark, tmp_path, "links_distinct", preview_responses=([(1, ["b", "a", "b"]), (2, ["c"])], "response_id long, links array<string>"))
+    assert sorted(got) == [(1, ["a", "b"], 2, False), (2, ["c"], 1, False)]
