@@ -88,3 +88,10 @@ def test_trie_with_a_small_frontier(monkeypatch):
     sketch = np.zeros((40, 2), np.uint8)
     got = sum(len(x) for x, _ in trie_pairs(np.zeros(40, np.int64), sketch, np.zeros(40, np.int8), 0))
     assert got == 40 * 39 // 2
+
+
+def test_few_pairs_at_the_threshold_are_missed():
+    from pagelattice.llm import near
+
+    assert near.ROWS * near.BANDS <= near.SKETCH_BITS
+    assert (1 - 0.7**near.ROWS) ** near.BANDS < 2e-4
