@@ -18,91 +18,6 @@ _LINK_ITEM = re.compile(r"[-*+]\s+" + _LINK)
 _LINK_ROW = re.compile(r"(?:" + _LINK + r"[\s·|•/,-]*)+")
 _DIGIT = re.compile(r"\d")
 
-# How the furniture of a page reads in English, German, French and Spanish,
-# after trimming, in lower case; each alternative describes a whole line.
-FURNITURE_LINES = re.compile(
-    "(?:"
-    # cookie notices
-    r"(?:your privacy matters to .{2,40}|we set cookies to .{3,60}"
-    r"|cookies help us .{3,40}|this site (?:keeps|uses|stores) (?:small files|cookies)\b.{0,40})\..{0,80}"
-    r"|(?:some of them are needed, others help us improve|you can change this at any time in settings"
-    r"|by staying here you agree to their use|choose what we may keep)\."
-    r"|accept(?: all)?|decline(?: all)?|reject(?: all)?|got it|allow(?: all| selection)|settings|agree|refuse"
-    r"|(?:wir setzen cookies ein|diese seite speichert daten auf ihrem gerät|diese seite (?:nutzt|verwendet) cookies).{0,160}"
-    r"|(?:sie können ihre wahl jederzeit ändern|mit der nutzung stimmen sie zu)\."
-    r"|(?:alle )?(?:annehmen|ablehnen|akzeptieren)|einstellungen"
-    r"|(?:usamos cookies|este sitio (?:guarda archivos|usa cookies)).{0,160}"
-    r"|(?:si sigue aquí acepta su uso|puede cambiar su elección cuando quiera)\."
-    r"|(?:aceptar|rechazar)(?: todo)?|ajustes"
-    r"|(?:nous utilisons des cookies|ce site (?:garde des fichiers|utilise des cookies)|les cookies nous).{0,160}"
-    r"|(?:en restant ici vous acceptez leur usage|vous pouvez changer d[’']avis à tout moment)\."
-    r"|(?:tout )?(?:accepter|refuser)|réglages"
-    # share and sign-up prompts
-    r"|share this (?:page|article|post)|tell a friend about this|liked it\? pass it on|copy link · send by mail"
-    r"|was this (?:useful|helpful)\?.{0,20}|(?:share|weitersagen|partager|compartir|teilen): .{2,80}"
-    r"|sign up for our .{3,40}|subscribe to our .{3,40}|enter your mail address and .{3,40}|follow us for .{3,40}"
-    r"|join \S+ readers of .{3,60}"
-    r"|seite teilen|war das hilfreich\?.{0,20}|rundbrief bestellen|newsletter (?:bestellen|abonnieren)"
-    r"|compartir esta página|enviar a un amigo|¿le sirvió\?.{0,20}|reciba nuestro boletín"
-    r"|partager cette page|envoyer à un proche|utile \? .{0,20}|recevez notre lettre"
-    # bylines
-    r"|(?:posted|published) by \S+ at .{2,40}|(?:by|from) the .{2,40} desk|written by .{2,40} staff(?:, .{2,30} team)?"
-    r"|\*[^*]{2,40} notes\*|von der .{2,40}-redaktion(?:, .{2,30})?|por la redacción .{2,60}|par la rédaction .{2,60}"
-    # legal and supply notices
-    r"|(?:prices include tax where it applies; errors excepted|figures are given without warranty and may change"
-    r"|all trade names belong to their owners and are used for naming only|nothing here is advice; ask .{2,40} before you rely on it"
-    r"|reprinting needs written consent from .{2,40})\."
-    r"|supplied by .{2,60} not for resale\.?"
-    r"|alle angaben ohne gewähr.{0,40}|nachdruck nur mit zustimmung von .{2,40}"
-    r"|todos los datos se dan sin garantía\.|reproducción solo con permiso de .{2,40}"
-    r"|toutes les données sont fournies sans garantie\.|reproduction soumise à l[’']accord de .{2,40}"
-    r"|(?:©|\(c\)|copyright) .{0,80}"
-    # footers
-    r"|back to top|nach oben|volver arriba|haut de page|made by people at .{2,40}|language: .{2,60}"
-    r"|open on weekdays .{2,40}|werktags ab .{2,30}|abierto desde .{2,30}|ouvert dès .{2,30}"
-    r"|terms|privacy|imprint|sitemap|accessibility|impressum|datenschutz|aviso legal|privacidad|mentions légales|confidentialité"
-    ")"
-)
-
-# The same, known by what stands within the line.
-FURNITURE_PARTS = (
-    " and its partners store data in your browser.",
-    " is run from ",
-    "all rights reserved",
-    "alle rechte vorbehalten",
-    "tous droits réservés",
-    "todos los derechos reservados",
-)
-
-# Notices that scripts or another browser are needed.
-SCRIPT_LINES = re.compile(
-    r"(?:you need to enable javascript to run this app|this page requires javascript|javascript is (?:required|disabled)"
-    r"|please (?:enable|turn on|activate) javascript|enable javascript|noscript:"
-    r"|(?:your|this) browser (?:is not supported|is out of date|does not (?:support|run) )|please switch to a newer browser"
-    r"|please verify that you are human|scripts have to be allowed|checking your browser before"
-    r"|if nothing happens, check that scripts|loading\W*$|just a moment\W*$"
-    r"|bitte aktivieren sie javascript|ihr browser (?:führt keine skripte|wird nicht unterstützt)|ohne skripte zeigt"
-    r"|veuillez activer javascript|activez javascript|votre navigateur (?:bloque les scripts|n[’']est pas)|le site ne marche pas sans eux"
-    r"|active javascript para|su navegador (?:bloquea los scripts|no es compatible)|sin ellos no se muestra nada)"
-)
-# Error messages, and what stands beside them.
-ERROR_LINES = re.compile(
-    r"(?:(?:error )?[45]\d\d(?: ?[-–:|]? ?[^\d.,;]{0,60})?$|page not found|not found$|service unavailable|bad gateway|gateway time-?out|internal server error"
-    r"|too many requests|session expired|gone$|access denied|forbidden$|unauthorized$|oops\W*$|fatal error:|thrown in /|uncaught \w*exception"
-    r"|traceback \(most recent|error establishing a (?:connection to the )?database|\{\s*\"?error\"?\s*:|this listing has been removed"
-    r"|it may have moved, or the address|the page you (?:asked|are looking) for|we can[’']t seem to find what you|the upstream host gave no answer"
-    r"|we are doing maintenance|your session has ended|something (?:broke|went wrong)|this address was retired"
-    r"|you have sent more requests than allowed|you do not have permission|reference: \S{1,40}$|\[?go back to the start\]?"
-    r"|seite nicht gefunden|die gewünschte adresse|zugriff verweigert|für diesen bereich fehlt|interner (?:server)?fehler|bitte versuchen sie es später"
-    r"|page introuvable|la page demandée|accès refusé|vous n[’']avez pas le droit|erreur interne|merci de réessayer plus tard"
-    r"|página no encontrada|la dirección solicitada ya no|acceso denegado|no tiene permiso para|error interno|vuelva a intentarlo más tarde)"
-)
-# Filler that stands where text should.
-FILLER_LINES = re.compile(
-    r"(?:new page$|content to follow|insert copy|x{3,}(?: x{2,})+|your (?:headline|title|text) (?:goes )?here|this is (?:a )?sample text"
-    r"|sample text|title$|text(?: text){2,}|tbd(?: tbd)+|test$|asdf|qwerty|section heading$|add a (?:short description|subtitle|title)"
-    r"|(?:click|double-click) (?:here )?to edit|placeholder text|lorem ipsum|(\w+)(?: \1){3,})"
-)
 # Words of the classic filler text.
 FILLER_WORDS = frozenset(
     "lorem ipsum dolor amet consectetur adipiscing elit eiusmod tempor incididunt labore dolore magna aliqua veniam nostrud "
@@ -116,11 +31,33 @@ FUNCTION_WORDS = frozenset(
     "el la los las de que y en un una para con por no se lo su cada "
     "le les des et du une dans pour avec sur il qui ne chaque".split()
 )
-# Words of messages that are no content, wherever the message is widespread.
-WEAK = re.compile(
-    r"\b(?:error|fail(?:ed|ure)|denied|unavailable|sorry|try again|expired|not found|maintenance|scripts?|javascript|browser|captcha|"
-    r"fehler|fehlgeschlagen|skripte|wartung|erreur|indisponible|navigateur|mantenimiento|navegador|sample|placeholder|dummy|insert)\b"
-)
+# Phrases of error messages, of demands for scripts or another browser, and of
+# filler, that tell what a line is if it recurs widely; whole words, in lower case.
+MESSAGE_PHRASES = (
+    # English
+    "error", "exception", "traceback", "failed", "failure", "denied", "forbidden", "unauthorized", "unavailable", "expired", "gone", "retired",
+    "removed", "timeout", "timed out", "maintenance", "too many", "try again", "sorry", "oops", "permission", "not found", "not here",
+    "not available", "can't find", "gateway", "no longer",
+    "javascript", "script", "scripts", "scripting", "noscript", "browser", "captcha", "human", "loading", "just a moment", "cookies must",
+    "sample", "placeholder", "dummy", "lorem", "ipsum", "filler", "insert", "goes here", "to follow", "click to", "headline", "subtitle",
+    "section heading", "new page", "tbd", "asdf", "qwerty", "test",
+    # German
+    "fehler", "verweigert", "gesperrt", "nicht gefunden", "nicht verfügbar", "nicht erreichbar", "abgelaufen", "wartung", "erneut", "leider",
+    "skripte", "browser",
+    # French
+    "erreur", "introuvable", "refusé", "interdit", "indisponible", "expiré", "n'existe plus", "réessayer", "désolé", "navigateur",
+    # Spanish
+    "no encontrada", "no encontrado", "denegado", "prohibido", "no disponible", "caducada", "caducado", "ya no existe", "mantenimiento",
+    "inténtelo", "intentarlo", "lo sentimos", "navegador",
+)
+# Months, as they stand in dates.
+MONTHS = (
+    "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december",
+    "jan", "feb", "mar", "apr", "jun", "jul", "aug", "sep", "sept", "oct", "nov", "dec",
+    "januar", "februar", "märz", "mai", "juni", "juli", "oktober", "dezember", "okt", "dez",
+    "janvier", "février", "mars", "avril", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre",
+    "enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre",
+)
 # Placeholders of template languages.
 PLACEHOLDER = re.compile(
     r"\{\{[\w\s.|\-]{1,60}\}\}|\{%-?[\w\s.=,\-]{1,60}-?%\}|<%[=-]?[\w\s.()\-]{1,60}%>|[$#]\{[\w\s.\-]{1,60}\}"
@@ -144,9 +81,9 @@ def lines_of(markdown: str) -> list[str]:
 
 
 def line_kinds(lines: list[str]) -> list[int]:
-    """The kind of each tidied line. ``FURNITURE`` is what the page alone shows not to be
-    content: rows and lists of links, menus, breadcrumbs, blocks of related links with
-    their heading, and lines that read like furniture."""
+    """The kind of each tidied line. ``FURNITURE`` is what its form alone shows not to be
+    content: rows and lists of links, menus, breadcrumbs, and blocks of related links with
+    their heading. What a line says plays no part."""
     kinds = []
     fence = ""
     for line in lines:
@@ -195,23 +132,10 @@ def _menu(x: str) -> bool:
     return len(x) <= 30 and x.count(" ") < 3 and not _DIGIT.search(x) and x[-1:] not in ".:;!?}>]$%"
 
 
-_KNOWN: dict[str, bool] = {}
-
-
 def _furniture(line: str) -> bool:
-    if line[0] == "[" and len(line) <= 400 and _LINK_ROW.fullmatch(line):
+    """A row of links, a menu in a row, or a breadcrumb."""
+    if line[0] == "[" and _LINK_ROW.fullmatch(line):
         return True
-    if len(line) > 130:
-        return False
-    known = _KNOWN.get(line)
-    if known is None:
-        if len(_KNOWN) > 50_000:
-            _KNOWN.clear()
-        known = _KNOWN[line] = _looks_furniture(line)
-    return known
-
-
-def _looks_furniture(line: str) -> bool:
     for mark in (" | ", " · ", " • "):
         if mark in line and all(_menu(x) for x in line.split(mark)):
             return True
@@ -220,32 +144,47 @@ def _looks_furniture(line: str) -> bool:
             parts = line.split(mark)
             if len(parts) > 2 and all(0 < len(x) <= 40 and x.count(" ") < 4 for x in parts) and line[-1] not in ".:?!":
                 return True
-    low = line.lower()
-    return FURNITURE_LINES.fullmatch(low) is not None or len(line) <= 110 and any(x in low for x in FURNITURE_PARTS)
+    return False
+
+
+#: Classes of a line for problem 1; ``TITLE`` is a heading with a phrase of messages.
+NONE, MESSAGE, FILLER, TITLE = range(4)
+
+_PHRASE = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(set(MESSAGE_PHRASES), key=len, reverse=True))) + r")(?!\w)")
+# the longest word of each phrase, one of which a line must hold to be worth the search
+_TELLING = frozenset(max(x.replace("'", " ").split(), key=len) for x in MESSAGE_PHRASES)
+_STATUS = re.compile(r"(?:(?:http )?error |http )?[45]\d\d(?!\w)")
+_PARTS = re.compile(r"\w+")
 
 
-#: Classes of a line for problem 1.
-NONE, ERROR, FILLER, SCRIPT, WEAKLY = range(5)
+class _Telling(dict):
+    """Word, as it stands between blanks, -> may it belong to a phrase?"""
 
+    def __missing__(self, word: str) -> bool:
+        if len(self) > 300_000:
+            self.clear()
+        told = self[word] = any(x in _TELLING or (x[:3] == "xxx" and not x.strip("x")) for x in _PARTS.findall(word))
+        return told
 
-def message_class(line: str) -> int:
-    """What a tidied line outside code would be if it stood in place of a body."""
-    text = line.lower().lstrip("#>*-+ ").rstrip("* ")
-    if not text or len(line) > 1500:
-        return FILLER if _is_filler(text) else NONE
-    if len(line) <= 160:
-        if SCRIPT_LINES.match(text):
-            return SCRIPT
-        if ERROR_LINES.match(text):
-            return ERROR
-        if FILLER_LINES.match(text):
-            return FILLER
-        if WEAK.search(text):
-            return WEAKLY
-    return FILLER if _is_filler(text) else NONE
 
+_TOLD = _Telling()
 
-def _is_filler(text: str) -> bool:
+
+def message_class(low: str, words: list[str]) -> int:
+    """What a tidied line in lower case, split into ``words``, would be if it stood in place
+    of a body and recurred widely."""
+    if _STATUS.match(low.lstrip("#>*-+ ")):
+        return MESSAGE
+    told = any(map(_TOLD.__getitem__, words))
+    if told and (_PHRASE.search(low.replace("’", "'")) or "xxx" in low):
+        return FILLER if is_filler(low) else MESSAGE
+    n = len(words)
+    if n > 2 and 2 * len(set(words)) <= n + 1 and words[0][:1].isalpha():
+        return MESSAGE  # the same few words over and over
+    return FILLER if "dolor" in low and is_filler(low) else NONE
+
+
+def is_filler(text: str) -> bool:
     """Filler in the manner of the classic Latin text: its words, and no sentence of a
     living language around them."""
     if not ("ipsum" in text or "lorem" in text or "dolor" in text):
@@ -254,11 +193,6 @@ def _is_filler(text: str) -> bool:
     return sum(w in FILLER_WORDS for w in words) >= 2 and sum(w in FUNCTION_WORDS for w in words) <= len(words) // 20
 
 
-def is_notice(line: str) -> bool:
-    """Is the line a notice that scripts or another browser are needed?"""
-    return len(line) <= 120 and SCRIPT_LINES.match(line.lower().lstrip("#* ")) is not None
-
-
 def is_latin_prose(line: str) -> bool:
     """Could the line go on with filler that another line of its page is? Some words, none
     of them a function word of a living language, and no figures."""

@@ -1,11 +1,13 @@
 """Template residue, filler, error pages and demands for scripts in place of content.
 
 Numbers, addresses and dates of each line are masked, and the exact hashes of what is
-left are grouped across all pages and sites. A line is a message by its phrases, or by
-weaker words where its group is spread over several sites, whatever stands in its masks. A
-page is a case if it has an unfilled placeholder outside code, or a message and nothing that
-could be a body: beside messages only headings, furniture, lines that recur letter by letter
-on other pages, and a few that recur over several sites but for what is masked.
+left are grouped across all pages and sites. A group that recurs widely (on several sites,
+or letter by letter on several pages) is classified by phrases; no line is a message by its
+phrases alone. Headings name a page's subject and are grouped unmasked; classic filler is
+masked as a whole, as its words come in any order. A page is a case if it has an unfilled
+placeholder outside code, or a message and nothing that could be a body: beside messages
+only headings, furniture, lines that recur letter by letter on other pages, and a few that
+recur over several sites but for what is masked.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ _ADDRESS = re.compile(r"(?:https?://|www\.)\S+|[^\s@]+@[^\s@]+\.\w+|(?<=\()/[^)\
 _DIGIT = re.compile(r"\d")
 # a word with a digit; tried at the beginnings of words only
 _FIGURE = re.compile(r"(?<![^ ])[^ \d]*\d[^ ]*")
+_DATE = re.compile(r"(?:0 )?(?<!\w)(?:" + "|".join(L.MONTHS) + r")(?!\w)\.?(?: 0)*")
 _NAME = re.compile(r"[^\W\d_]{4,}")
 
 ANALYSIS = "doc long, site_hash long, placeholder boolean, marks array<struct<m:long,r:long,c:tinyint>>"
@@ -44,7 +47,15 @@ def mask(line: str) -> str:
     """A tidied lower-case line with addresses, dates and all that holds a digit masked."""
     if "@" in line or "/" in line or "www." in line:
         line = _ADDRESS.sub("@", line)
-    return _FIGURE.sub("0", line)
+    masked = _FIGURE.sub("0", line)
+    if masked is line or masked == line:
+        return line
+    # a month beside a figure belongs to a date
+    return _DATE.sub(lambda m: "0" if "0" in m.group() else m.group(), masked)
+
+
+_FILLED = "\x02"  # what filler is masked as
+_STREAM = frozenset((L.PLAIN, L.ITEM, L.FURNITURE))
 
 
 class _Tokens(dict):
@@ -72,6 +83,7 @@ def analyse(pages: DataFrame, doc: str = "response_id", text: str = "markdown",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[str, str], tuple[int, int, int]] = {}
         vocabulary = _Tokens()
+        filled = _hash(_FILLED)
         for batch in batches:
             ids, sites, names, flags, ends = [], [], [], [], [0]
             ms, rs, cs = [], [], []
@@ -87,22 +99,36 @@ def analyse(pages: DataFrame, doc: str = "response_id", text: str = "markdown",
                 kinds = L.line_kinds(lines)
                 if len(seen) > 100_000:
                     seen.clear()
-                first, unsure = len(ms), []
+                first, unsure, content = len(ms), [], []
                 for line, kind in zip(lines, kinds):
-                    if kind == L.BLANK or kind == L.FURNITURE or line.startswith(("```", "~~~")):
+                    if kind == L.BLANK:
+                        continue
+                    low = line.lower()
+                    words = None
+                    if stream:
+                        if kind in _STREAM:
+                            words = low.split(" ")
+                            sizes.append(len(words))
+                            tokens.extend(map(vocabulary.__getitem__, words))
+                        else:
+                            others.append(_hash(low) & ~63 | min(63, low.count(" ") + 1))
+                        if kind != L.FURNITURE:
+                            content.append(low)
+                    if kind == L.FURNITURE or line.startswith(("```", "~~~")):
                         continue
                     mark = seen.get((name, line)) if len(line) < 80 else None
                     if mark is None:
-                        c = L.NONE if kind == L.CODE and line[0] != "{" else L.message_class(line)
-                        low = line.lower()
+                        c = L.NONE if kind == L.CODE and line[0] != "{" else L.message_class(low, words or low.split(" "))
                         if name and name in low:
                             low = low.replace(name, "\x01")
-                        mark = (_hash(mask(low)), _hash(low), c)
+                        r = _hash(low)
+                        m = filled if c == L.FILLER else r if kind == L.HEADING else _hash(mask(low))
+                        mark = (m, r, L.TITLE if c == L.MESSAGE and kind == L.HEADING else c)
                         if len(line) < 80:
                             seen[name, line] = mark
-                    if kind == L.HEADING and (mark[2] == L.NONE or mark[2] == L.WEAKLY):
+                    if kind == L.HEADING and mark[2] == L.NONE:
                         continue
-                    if mark[2] == L.NONE and kind == L.PLAIN and len(line) > 20:
+                    if mark[2] != L.FILLER and kind == L.PLAIN and len(line) > 20:
                         unsure.append((len(ms), line))
                     ms.append(mark[0])
                     rs.append(mark[1])
@@ -110,27 +136,13 @@ def analyse(pages: DataFrame, doc: str = "response_id", text: str = "markdown",
                 if L.FILLER in cs[first:]:
                     for k, line in unsure:
                         if L.is_latin_prose(line):
-                            cs[k] = L.FILLER
+                            ms[k], cs[k] = filled, L.FILLER
                 ids.append(i)
                 sites.append(_hash(site or ""))
                 flags.append(L.has_placeholder(lines, kinds))
                 ends.append(len(ms))
                 if stream:
-                    content = []
-                    for k, (line, kind) in enumerate(zip(lines, kinds)):
-                        # notices that scripts are needed may stand on any page
-                        if (kind == L.PLAIN or kind == L.HEADING) and L.is_notice(line):
-                            kind = kinds[k] = L.FURNITURE
-                        if kind == L.PLAIN or kind == L.ITEM or kind == L.FURNITURE:
-                            words = line.lower().split(" ")
-                            sizes.append(len(words))
-                            tokens.extend(map(vocabulary.__getitem__, words))
-                        elif kind != L.BLANK:
-                            low = line.lower()
-                            others.append(_hash(low) & ~63 | min(63, low.count(" ") + 1))
-                        if kind != L.BLANK and kind != L.FURNITURE:
-                            content.append(line)
-                    texts.append(_hash("\n".join(content).lower()))
+                    texts.append(_hash("\n".join(content)))
                     other_ends.append(len(others))
                     names.append(site or "")
                     all_kinds.append(bytes(kinds))
@@ -183,31 +195,26 @@ def residue(pages: DataFrame, doc: str = "response_id", text: str = "markdown")
 
 def judge(analysis: DataFrame) -> DataFrame:
     """``response_id`` of the cases among pages that ``analyse`` has seen."""
-    marks = durable(analysis.select("doc", "site_hash", "placeholder", "marks").dropDuplicates(["doc"]))
+    marks = durable(analysis.select("doc", "site_hash", "placeholder", F.array_distinct("marks").alias("marks")).dropDuplicates(["doc"]))
     lines = marks.select("doc", "site_hash", F.explode("marks").alias("x")).select("site_hash", "x.m", "x.r")
     groups = (
         lines.groupBy("m", "site_hash")
         .agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("lo"), F.max("r").alias("hi"))
         .groupBy("m")
-        .agg(F.count(F.lit(1)).alias("sites"), F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        .where(f"sites >= {MIN_SITES} or n >= {MIN_PAGES}")
+        .agg(F.count(F.lit(1)).alias("sites"), F.sum("n").alias("n"), F.min(F.col("lo")).alias("lo"), F.max("hi").alias("hi"))
+        .where(f"sites >= {MIN_SITES} or (n >= {MIN_PAGES} and lo = hi)")
+        .select("m", F.expr("lo < hi").alias("varies"))
     )
     suspects = marks.where(F.exists("marks", lambda x: x["c"] > 0)).where("not placeholder")
     judged = (
         suspects.select("doc", F.explode("marks").alias("x"))
         .select("doc", "x.m", "x.c")
         .join(groups, "m", "left")
-        .select(
-            "doc",
-            F.expr(f"c in ({L.ERROR}, {L.FILLER}, {L.SCRIPT}) or (c = {L.WEAKLY} and coalesce(sites, 0) >= {MIN_SITES})").alias("message"),
-            F.expr(f"coalesce(n >= {MIN_PAGES} and lo = hi, false)").alias("recurs"),
-            F.expr(f"coalesce(n >= {MIN_PAGES} and lo < hi and sites >= {MIN_SITES}, false)").alias("varies"),
-        )
         .groupBy("doc")
         .agg(
-            F.max("message").alias("message"),
-            F.max(F.expr("not message and not recurs and not varies")).alias("body"),
-            F.count_if(F.expr("not message and varies")).alias("varying"),
+            F.max(F.expr("c > 0 and varies is not null")).alias("message"),
+            F.max(F.expr(f"varies is null and c <> {L.TITLE}")).alias("body"),
+            F.count_if(F.expr("c = 0 and varies")).alias("varying"),
         )
         .where(f"message and not body and varying <= {VARYING}")
     )
