@@ -178,7 +178,8 @@ def test_blocks_do_not_change_the_rows(spark):
 
 def test_arrays_remove_most_of_what_is_removed(spark, monkeypatch):
     """What goes by its form alone, and what only the arrays remove."""
-    rows = [(i, md + f"\n\nWhy not pass this on\n\nBy the reading desk\n\nAll of it is the property of the mill {'.' * (i % 2)}", u) for i, md, u in site(30)]
+    rows = [(i, md.replace(BODY.format(i, i * 7), " ".join(f"w{i}x{j}" for j in range(30))), u) for i, md, u in site(30)]
+    rows = [(i, md + f"\n\nWhy not pass this on\n\nBy the reading desk\n\nAll of it is the property of the mill {'.' * (i % 2)}", u) for i, md, u in rows]
     df = pages(spark, rows)
     body = {tuple(r) for r in main_body(df).collect()}
     lines = {(i, n) for i, md, _ in rows for n, x in enumerate(md.split("\n"), 1) if x.strip()}
