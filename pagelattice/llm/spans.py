@@ -8,6 +8,11 @@ characters.
 1. Each partition counts in a count-min sketch in how many documents each fingerprint
    stands; counters stop at two, which is all that matters, and take two bits. Sketches
    are merged segment by segment, in a tree. They can only overestimate.
+   A sketch for all the text that would be larger than ``2 * MAX_CELLS`` bits is not made:
+   the cells in use are kept as rows then, one of ``2**WIDE`` for each fingerprint, with the
+   least and the greatest document; partitions merge theirs on the map side, a shuffle
+   merges the rest, and a join tells the documents which of their cells hold two. That
+   sketch grows with the text and does not fill up.
 2. A second pass keeps the windows whose fingerprint is estimated to be repeated. A run of
    neighbouring windows with one fingerprint is a *chunk*. Chunks are grouped exactly:
    a chunk that stands in two documents is shared as a whole, whatever its length.
@@ -33,13 +38,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.spread import spread
-from .common import durable, join_small
+from .common import BROADCAST_BYTES, durable
 
 LENGTH = 200
 GRAM = 100
 DEPTH = 2
-#: Cells of a sketch row: four for each expected fingerprint, within these bounds.
-MIN_CELLS, MAX_CELLS = 1 << 16, 1 << 27
+#: Cells of a sketch row: four or more for each expected fingerprint, and no fewer than
+#: the least; beyond the most the sketch is kept as rows.
+MIN_CELLS, MAX_CELLS = 1 << 16, 1 << 25
+#: Bits of a cell's number where cells are rows: 1 in 50 is taken at 6 * 10**12 fingerprints.
+WIDE = 48
 SEGMENT = 1 << 19
 FAN_IN = 32
 #: Code points worked on at once; longer texts are taken in overlapping pieces.
@@ -125,17 +133,16 @@ def _merge(one: np.ndarray, two: np.ndarray, other_one: np.ndarray, other_two: n
     one |= other_one
 
 
-def repeated_sketch(docs: DataFrame, length: int) -> bytes | None:
-    """Bits of the merged sketch: may the cell's fingerprints stand in two documents?
+def cells_for(code_points: int, length: int) -> int:
+    """Cells of a sketch row for a text of so many code points."""
+    return max(MIN_CELLS, 1 << int(4 * code_points / (length - GRAM + 2) * 2).bit_length())
 
-    ``docs`` has the id and the text. The size follows the number of code points and is
-    at most ``DEPTH * MAX_CELLS`` bits (32 MB): it may be broadcast.
+
+def repeated_sketch(docs: DataFrame, length: int, cells: int) -> bytes | None:
+    """Bits of the merged sketch of ``cells``: may the cell's fingerprints stand in two
+    documents? ``docs`` has the id and the text. At most ``DEPTH * MAX_CELLS`` bits (8 MB):
+    it may be broadcast.
     """
-    text = docs.columns[1]
-    total = docs.agg(F.sum(F.length(text)).alias("n")).first()["n"] or 0
-    if total < length:
-        return None
-    cells = min(MAX_CELLS, max(MIN_CELLS, 1 << int(4 * total / (length - GRAM + 2) * 2).bit_length()))
     segment = min(SEGMENT, cells)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,8 +186,8 @@ def repeated_sketch(docs: DataFrame, length: int) -> bytes | None:
         return pa.table({"part": t.column("part")[:1], "slot": t.column("slot")[:1], "one": [one.tobytes()], "two": [two.tobytes()]})
 
     schema = "part long, slot long, one binary, two binary"
-    parts = docs.mapInArrow(count, schema)
-    slots = max(1, docs.rdd.getNumPartitions())
+    parts = durable(docs.mapInArrow(count, schema))
+    slots = 1 + (parts.agg(F.max("slot")).first()[0] or 0)
     while slots > 1:
         parts = parts.withColumn("slot", F.expr(f"slot div {FAN_IN}")).groupBy("part", "slot").applyInArrow(merge, schema)
         slots = -(-slots // FAN_IN)
@@ -189,24 +196,57 @@ def repeated_sketch(docs: DataFrame, length: int) -> bytes | None:
     return b"".join(bytes(bits.get(k, nothing)) for k in range(DEPTH * (cells // segment))) if bits else None
 
 
-def _chunks(docs: DataFrame, sketch: bytes, length: int) -> DataFrame:
+def _cell(m: np.ndarray) -> np.ndarray:
+    """The cell of a fingerprint where cells are rows."""
+    return (_mix(m + _B) >> np.uint64(64 - WIDE)).astype(np.int64)
+
+
+def repeated_cells(docs: DataFrame, length: int) -> DataFrame:
+    """``doc, cells``: of each document the cells that hold fingerprints of two documents,
+    by a sketch whose cells are rows. A document's list is bounded by its length."""
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for parts, part, _, m in _pieces(batch, length):
+                new = np.append(True, (m[1:] != m[:-1]) | (part[1:] != part[:-1]))[: len(m)]
+                cell, doc = _cell(m[new]), np.array([i for i, _, _ in parts], np.int64)[part[new]]
+                order = np.lexsort((cell, doc))
+                cell, doc = cell[order], doc[order]
+                new = np.append(True, (cell[1:] != cell[:-1]) | (doc[1:] != doc[:-1]))[: len(cell)]
+                yield pa.RecordBatch.from_arrays([pa.array(cell[new]), pa.array(doc[new])], names=["cell", "doc"])
+
+    rows = durable(docs.mapInArrow(entries, "cell long, doc long"))
+    merged = rows.groupBy("cell").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("cell")
+    return durable(rows.join(merged, "cell", "left_semi").groupBy("doc").agg(F.collect_set("cell").alias("cells")))
+
+
+def _chunks(docs: DataFrame, sketch: bytes | None, length: int) -> DataFrame:
     """``print, chunk, doc, at, n``: runs of ``n`` windows from ``at`` on with one repeated
-    fingerprint, and the hash of the text they cover."""
+    fingerprint, and the hash of the text they cover. Repeated are those that the sketch
+    lets through, or without one those of the ``cells`` of each document."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
-    cells = len(sketch) * 8 // DEPTH
+    cells = len(sketch) * 8 // DEPTH if sketch else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(shared.value, np.uint8).reshape(DEPTH, -1)
+        bits = np.frombuffer(shared.value, np.uint8).reshape(DEPTH, -1) if cells else None
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
+            if not cells:
+                known = dict(zip(batch.column(0).to_pylist(), batch.column(2)))
             for parts, part, at, m in _pieces(batch, length):
                 if not len(m):
                     continue
                 new = np.append(True, (m[1:] != m[:-1]) | (part[1:] != part[:-1]) | (at[1:] != at[:-1] + 1))
                 starts = np.flatnonzero(new)
                 keep = np.ones(len(starts), bool)
-                for d, c in enumerate(_cells(m[starts], cells)):
-                    keep &= (bits[d, c >> 3] >> (c & 7).astype(np.uint8)) & 1 > 0
+                if cells:
+                    for d, c in enumerate(_cells(m[starts], cells)):
+                        keep &= (bits[d, c >> 3] >> (c & 7).astype(np.uint8)) & 1 > 0
+                else:
+                    c, of = _cell(m[starts]), part[starts]
+                    for p in np.unique(of):
+                        mine = np.flatnonzero(of == p)
+                        keep[mine] = np.isin(c[mine], known[parts[p][0]].values.to_numpy())
                 sizes = np.diff(np.append(starts, len(m)))
                 for s, n in zip(starts[keep].tolist(), sizes[keep].tolist()):
                     i, offset, text = parts[part[s]]
@@ -254,10 +294,19 @@ def shared_spans(docs: DataFrame, doc: str = "doc_id", text: str = "text", lengt
     docs = spread(docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text")))
     spark = docs.sparkSession
     out = "doc_id long, span_start int, span_end int"
-    sketch = repeated_sketch(docs, length)
-    if sketch is None:
+    points = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+    if points < length:
         return spark.createDataFrame([], out)
-    chunks = durable(_chunks(docs, sketch, length))
+    cells = cells_for(points, length)
+    if cells <= MAX_CELLS:
+        sketch = repeated_sketch(docs, length, cells)
+        if sketch is None:
+            return spark.createDataFrame([], out)
+        chunks = durable(_chunks(docs, sketch, length))
+    else:
+        known = repeated_cells(docs, length)
+        size = known.agg(F.sum(16 + 8 * F.size("cells")).alias("n")).first()["n"] or 0
+        chunks = durable(_chunks(docs.join(F.broadcast(known) if size <= BROADCAST_BYTES else known, "doc"), None, length))
     kinds = chunks.groupBy("print", "chunk").agg(
         F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min(F.struct("doc", "at", "n")).alias("one")
     )
@@ -275,7 +324,8 @@ def shared_spans(docs: DataFrame, doc: str = "doc_id", text: str = "text", lengt
         .agg(F.collect_list("c").alias("opened"))  # of one document: bounded by its length
     )
     opened = durable(opened)
-    windows = durable(_open(join_small(docs, opened, "doc", "inner", 4096), length))
+    size = opened.agg(F.sum(16 + 64 * F.size("opened")).alias("n")).first()["n"] or 0
+    windows = durable(_open(docs.join(F.broadcast(opened) if size <= BROADCAST_BYTES else opened, "doc"), length))
     common = windows.groupBy("window").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("window")
     parts = (
         windows.where("lo = hi")  # chunks of two documents are covered already

@@ -77,12 +77,34 @@ def test_short_lengths(spark):
 
 
 def test_a_full_sketch_loses_nothing(spark, monkeypatch):
-    monkeypatch.setattr(spans, "MIN_CELLS", 8)
-    monkeypatch.setattr(spans, "MAX_CELLS", 8)
+    monkeypatch.setattr(spans, "cells_for", lambda n, length: 8)
     rows = case(4)
     assert run(spark, rows) == brute(rows, 200)
 
 
+@pytest.mark.parametrize("wide", [3, 48])
+def test_cells_as_rows(spark, monkeypatch, wide):
+    monkeypatch.setattr(spans, "MAX_CELLS", 0)
+    monkeypatch.setattr(spans, "WIDE", wide)
+    monkeypatch.setattr(spans, "PIECE", 700)
+    rows = case(5)
+    assert run(spark, rows) == brute(rows, 200)
+
+
+def test_cells_as_rows_let_little_through(spark, monkeypatch):
+    """A text of over 100 times what the largest sketch is made for."""
+    rng = random.Random(6)
+    monkeypatch.setattr(spans, "MIN_CELLS", 64)
+    rows = [(i, noise(rng, 4000)) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc long, text string").repartition(3)
+    points = sum(len(t) for _, t in rows)
+    assert spans.cells_for(points, 200) > 100 * spans.cells_for(points // 128, 200)
+    prints = 2 * points / 102
+    full = spans._chunks(df, spans.repeated_sketch(df, 200, spans.cells_for(points // 128, 200)), 200).count()
+    sparse = spans.repeated_cells(df, 200).selectExpr("sum(size(cells)) as n").first().n or 0
+    assert full > 0.5 * prints and sparse < 0.05 * prints
+
+
 def test_counters_stop_at_two():
     one, two = np.array([0b0011], np.uint8), np.array([0b0001], np.uint8)
     spans._merge(one, two, np.array([0b0110], np.uint8), np.array([0b0000], np.uint8))
