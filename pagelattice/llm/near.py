@@ -10,7 +10,8 @@
    (One trie over the sketches alone would have to allow the whole budget in its upper
    levels, where it prunes nothing; the keys are what keeps the walk near linear.)
    A key held by many classes is cut into blocks; block pairs are walked by separate
-   tasks, so no key is gathered in one task, and no pair is lost.
+   tasks, so no key is gathered in one task, and no pair is lost. Blocks grow with the key
+   so that a class is written at most ``COPIES`` times until they are ``LARGEST``.
 4. Surviving pairs are verified exactly on the sets of shingles.
 
 A pair of similarity s is found with probability ``1 - (1 - s**ROWS)**BANDS`` (0.99985 at
@@ -37,7 +38,7 @@ BANDS = 32
 ROWS = 4
 BUDGET = 36
 #: Classes of one band key that one task walks at once.
-BLOCK = 1024
+BLOCK, COPIES, LARGEST = 1024, 64, 1 << 16
 #: Node pairs that a task holds at once.
 FRONTIER = 1 << 20
 
@@ -230,7 +231,7 @@ def _candidates(classes: DataFrame, budget: int) -> DataFrame:
         F.xxhash64("band", "key").alias("key"), "doc", "bits"
     )
     counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    blocks = F.expr(f"cast(ceil(n / {BLOCK}) as int)")
+    blocks = F.expr(f"cast(ceil(n / least(greatest({BLOCK}, n / {COPIES}), {LARGEST})) as int)")
     placed = (
         keys.join(counts, "key")
         .withColumn("blocks", blocks)

@@ -16,7 +16,7 @@ from .residue import residue
 from .site_lines import repeated_lines
 from .spans import shared_spans
 from .tokens import token_counts, token_ids
-from .visual import look_alike_pairs
+from .visual import look_alike_classes, look_alike_pairs
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,10 +40,21 @@ def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of representatives of classes (see ``p3_classes``), with their similarity."""
+    links, _ = near_duplicates(table(spark, sf_dir, "preview_responses"))
+    return links.select(F.col("a").alias("class_a"), F.col("b").alias("class_b"), F.round("similarity", 9).alias("similarity"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return look_alike_pairs(table(spark, sf_dir, "preview_responses"), ["title", "markdown"])
 
 
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses that look like others, with the class and the number of the others."""
+    return look_alike_classes(table(spark, sf_dir, "preview_responses"), ["title", "markdown"])
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines(table(spark, sf_dir, "preview_responses"), table(spark, sf_dir, "results"))
 
@@ -97,7 +108,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = [p1_found, p2_found, p3_found, p3_classes, p4_found, p5_found, p6_ids, p7_containers, p7_unused, p8_found, p8_shares]
+    names = [p1_found, p2_found, p3_found, p3_classes, p3_links, p4_found, p4_classes, p5_found, p6_ids, p7_containers, p7_unused, p8_found, p8_shares]
     return {f.__name__: shipped(f) for f in names}
 
 

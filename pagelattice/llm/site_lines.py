@@ -5,7 +5,8 @@ that hold a set bit, keyed by their index ``response_id / 64``. Words of variant
 one line (other spacing or letter case) are united with a bitwise or, their bits counted
 exactly, and a document's line is marked for removal when its own bit is found in the bitmap of a line
 over the threshold. A word is a row of its own, so no line, however common, is gathered
-in one task, and words are or-ed on the map side before they are shuffled.
+in one task, and words are or-ed on the map side before they are shuffled. A line is known
+by 128 bits.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ MIN_ALNUM = 3
 
 
 def line_hashes(pages: DataFrame, text: str = "markdown", doc: str = "response_id") -> DataFrame:
-    """``doc``, ``lines``: for each line of the text the 64-bit hash of its consistent form
+    """``doc``, ``lines``: for each line of the text two 64-bit hashes of its consistent form
     (trimmed, one space for each run of white space, lower case), null for a line of fewer
     than three letters or digits.
 
@@ -36,9 +37,10 @@ def line_hashes(pages: DataFrame, text: str = "markdown", doc: str = "response_i
         .select(
             F.col(doc).alias("doc"),
             F.expr(
-                f"""transform(split(`{text}`, '\n', -1), l -> if(
+                f"""transform(transform(split(`{text}`, '\n', -1), l -> if(
                         regexp_like(l, '{alnum}{other}{alnum}{other}{alnum}'),
-                        xxhash64(lower(trim(regexp_replace(l, '{_SPACE}', ' ')))), null))"""
+                        lower(trim(regexp_replace(l, '{_SPACE}', ' '))), null)),
+                        l -> if(l is null, null, named_struct('h', xxhash64(l), 'g', xxhash64(l, 1))))"""
             ).alias("lines"),
         )
         .dropDuplicates(["doc"])
@@ -68,19 +70,19 @@ def repeated_lines(
         durable(line_hashes(pages).join(sites, "doc"))
         .select("doc", "site", F.posexplode("lines").alias("pos", "h"))
         .where("h is not null")
-        .select("doc", "pos", F.xxhash64("site", "h").alias("line"), F.expr("shiftright(doc, 6)").alias("word_ix"))
+        .select("doc", "pos", F.xxhash64("site", "h.h").alias("line"), F.xxhash64("h.g", "site").alias("line2"), F.expr("shiftright(doc, 6)").alias("word_ix"))
     )
     bit = F.expr("bit_or(shiftleft(1L, cast(doc & 63 as int)))")
-    united = lines.groupBy("line", "word_ix").agg(bit.alias("word"))
+    united = lines.groupBy("line", "line2", "word_ix").agg(bit.alias("word"))
     heavy = (
-        united.groupBy("line")
+        united.groupBy("line", "line2")
         .agg(F.sum(F.expr("bit_count(word)")).alias("n"))
         .where(F.col("n") >= min_responses)
-        .select("line")
+        .select("line", "line2")
     )
-    bitmaps = united.join(heavy, "line", "left_semi")
+    bitmaps = united.join(heavy, ["line", "line2"], "left_semi")
     return (
-        lines.join(bitmaps, ["line", "word_ix"])
+        lines.join(bitmaps, ["line", "line2", "word_ix"])
         .where("(shiftright(word, cast(doc & 63 as int)) & 1) = 1")
         .select(F.col("doc").alias("response_id"), (F.col("pos") + 1).cast("int").alias("line_no"))
     )

@@ -38,6 +38,18 @@ LOOK_ALIKE = {
     "Ϲ": "C", "ϳ": "j", "Ϳ": "J",
     # Armenian
     "Տ": "S", "Օ": "O", "օ": "o", "հ": "h", "ո": "n", "ս": "u", "ց": "g",
+    "ѵ": "v",
+    # Cherokee
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭵ": "i", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮍ": "Y",
+    "Ꮐ": "G", "Ꮒ": "h", "Ꮓ": "Z", "Ꮟ": "b", "Ꮢ": "R", "Ꮤ": "W", "Ꮥ": "S", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C",
+    "Ꮲ": "P", "Ꮶ": "K", "Ꮷ": "d", "Ᏻ": "G", "Ᏼ": "B",
+    # Lisu
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M",
+    "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E",
+    "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
+    # numerals that are letters
+    "Ⅰ": "I", "Ⅴ": "V", "Ⅹ": "X", "Ⅼ": "L", "Ⅽ": "C", "Ⅾ": "D", "Ⅿ": "M", "ⅰ": "i", "ⅴ": "v", "ⅹ": "x", "ⅼ": "l",
+    "ⅽ": "c", "ⅾ": "d", "ⅿ": "m",
     # Latin letters of other scripts of type
     "ɑ": "a", "ɡ": "g",
 }
@@ -45,6 +57,7 @@ LOOK_ALIKE = {
 INVISIBLE = (
     "­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮"
     "⁠-⁤⁦-⁯ㅤ︀-️﻿ﾠ"
+    "\ufff0-\ufff8\U0001bca0-\U0001bca3\U0001d173-\U0001d17a\U000e0000-\U000e0fff"
 )
 # Spaces other than the ordinary one.
 SPACES = "   -   　"
@@ -85,7 +98,7 @@ _CLASS = _unstable()
 _JAMO = "ᅡ-ᅵᆨ-ᇂ"
 # quick check: the characters beyond ASCII, looked up one by one
 _BEYOND = re.compile("[^\x00-\x7f]+")
-_UNSTABLE = frozenset(c for c in map(chr, range(0x80, 0x30000)) if re.match(f"[{_CLASS}{_JAMO}{INVISIBLE}{SPACES}]", c))
+_UNSTABLE = frozenset(c for c in map(chr, [*range(0x80, 0x30000), *range(0xE0000, 0xE1000)]) if re.match(f"[{_CLASS}{_JAMO}{INVISIBLE}{SPACES}]", c))
 _SEGMENT = re.compile(f"[^{INVISIBLE}{SPACES}]?[{_CLASS}{_JAMO}{INVISIBLE}]+")
 
 
@@ -134,6 +147,30 @@ def forms(pages: DataFrame, fields: list[str], doc: str) -> DataFrame:
     return spread(pages.select(F.col(doc).cast("long"), *(F.col(f) for f in fields))).mapInArrow(run, _FORMS)
 
 
+def _several(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Spellings (field, form, raw, n) of ``rows``, and the (field, form) with several."""
+    spellings = rows.groupBy("field", "form", "raw").agg(F.count(F.lit(1)).alias("n"))
+    several = (
+        spellings.groupBy("field", "form")
+        .agg(F.min("raw").alias("lo"), F.max("raw").alias("hi"), F.sum("n").alias("all"))
+        .where("lo < hi")
+        .select("field", "form", "all")
+    )
+    return spellings, several
+
+
+def look_alike_classes(pages: DataFrame, fields: list[str], doc: str = "response_id") -> DataFrame:
+    """``field_name, response_id, class_id, n_links``: each row whose value of a field looks
+    like another's that is spelt differently, the least id of its form, and how many rows
+    have another spelling of it. As ``look_alike_pairs``, without writing out the pairs."""
+    rows = forms(pages, fields, doc).dropDuplicates(["doc", "field"])
+    spellings, several = _several(rows)
+    counted = spellings.join(several, ["field", "form"]).select("field", "form", "raw", F.expr("all - n").alias("n_links"))
+    members = rows.join(counted, ["field", "form", "raw"])
+    least = rows.join(several, ["field", "form"], "left_semi").groupBy("field", "form").agg(F.min("doc").alias("class_id"))
+    return members.join(least, ["field", "form"]).select(F.col("field").alias("field_name"), F.col("doc").alias("response_id"), "class_id", "n_links")
+
+
 def look_alike_pairs(pages: DataFrame, fields: list[str], doc: str = "response_id") -> DataFrame:
     """``field_name, id_a, id_b`` with ``id_a < id_b``: rows whose values of a field differ
     but have one consistent form.
@@ -145,13 +182,7 @@ def look_alike_pairs(pages: DataFrame, fields: list[str], doc: str = "response_i
     """
     # a document keeps one spelling of a field: rows delivered twice are whole repeats
     rows = forms(pages, fields, doc).dropDuplicates(["doc", "field"])
-    spellings = rows.groupBy("field", "form", "raw").agg(F.count(F.lit(1)).alias("n"))
-    several = (
-        spellings.groupBy("field", "form")
-        .agg(F.min("raw").alias("lo"), F.max("raw").alias("hi"))
-        .where("lo < hi")
-        .select("field", "form")
-    )
+    spellings, several = _several(rows)
     variants = spellings.join(several, ["field", "form"], "left_semi").select("field", "form", "raw")
     members = rows.join(several, ["field", "form"], "left_semi")
     pairs = (

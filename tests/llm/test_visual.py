@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from pagelattice.llm.visual import INVISIBLE, LOOK_ALIKE, SPACES, consistent, look_alike_pairs
+from pagelattice.llm.visual import INVISIBLE, LOOK_ALIKE, SPACES, consistent, look_alike_classes, look_alike_pairs
 
 
 @pytest.mark.parametrize(
@@ -19,6 +19,8 @@ from pagelattice.llm.visual import INVISIBLE, LOOK_ALIKE, SPACES, consistent, lo
         ("x²", "x²"),
         ("É", "É"),
         ("plain", "plain"),
+        ("a\U000e0101b\U000e0041", "ab"),  # variation selectors and tags beyond the first planes
+        ("ᎪᏴꓚ ⅿⅰⅼⅼ", "ABC mill"),
         ("", ""),
         (None, None),
         ("a  b", "a  b"),  # spaces one for one
@@ -71,5 +73,13 @@ def test_hot_spelling_is_not_paired_with_itself(spark):
     assert look_alike_pairs(df, ["title"]).count() == 300
 
 
+def test_classes_stand_for_the_pairs(spark):
+    df = rows(spark, [(i, "same", None, 0) for i in range(30)] + [(40 + k, "ѕame", None, 0) for k in range(5)] + [(90, "ѕаme", "m", 0), (91, "other", "m", 0), (91, "other", "m", 0)])
+    got = {r.response_id: (r.class_id, r.n_links) for r in look_alike_classes(df, ["title", "markdown"]).collect()}
+    assert got == {**{i: (0, 6) for i in range(30)}, **{40 + k: (0, 31) for k in range(5)}, 90: (0, 35)}
+    assert sum(n for _, n in got.values()) == 2 * look_alike_pairs(df, ["title", "markdown"]).count()
+
+
 def test_empty(spark):
+    assert look_alike_classes(rows(spark, []), ["title", "markdown"]).collect() == []
     assert look_alike_pairs(rows(spark, []), ["title", "markdown"]).collect() == []
