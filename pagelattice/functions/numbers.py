@@ -3,21 +3,18 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 # Signs and codes of currencies; those without minor units.
 SIGNS = {"$": "USD", "€": "EUR", "£": "GBP", "¥": "JPY", "₹": "INR", "₩": "KRW", "zł": "PLN", "kr": None}
 CODES = frozenset("USD EUR GBP JPY INR KRW CHF SEK NOK DKK PLN CAD AUD CNY BRL MXN CZK HUF TRY".split())
 WHOLE = frozenset("JPY KRW HUF".split())
 
-READING = StructType(
-    [StructField("value", DoubleType()), StructField("unit", StringType()), StructField("rule", StringType()), StructField("state", StringType())]
-)
-_BODY = re.compile(r"\d[\d.,'’   ]*")
+_SPACES = " \u00a0\u202f\u2009"
+_BODY = re.compile(rf"\d[\d.,'’{_SPACES}]*", re.ASCII)
 
 
 def read_number(text: str | None, decimal: str | None = None) -> tuple[float | None, str | None, str | None, str]:
@@ -62,14 +59,14 @@ def read_number(text: str | None, decimal: str | None = None) -> tuple[float | N
 
 
 def _read_body(body: str, unit: str | None, decimal: str | None) -> tuple[float | None, str | None]:
-    marks = re.findall(r"[.,'’   ]", body)
+    marks = re.findall(rf"[.,'’{_SPACES}]", body)
     digits = re.sub(r"\D", "", body)
     if len(digits) > 18:
         return None, None
     if not marks:
         return float(digits), "whole"
-    kinds = {("'" if x in "'’" else " " if x in "   " else x) for x in marks}
-    parts = re.split(r"[.,'’   ]", body)
+    kinds = {("'" if x in "'’" else " " if x in _SPACES else x) for x in marks}
+    parts = re.split(rf"[.,'’{_SPACES}]", body)
     grouped = 1 <= len(parts[0]) <= 3 and all(len(p) == 3 for p in parts[1:])
     lakh = len(parts) > 2 and 1 <= len(parts[0]) <= 2 and all(len(p) == 2 for p in parts[1:-1]) and len(parts[-1]) == 3
     if len(kinds) == 2:
@@ -77,7 +74,7 @@ def _read_body(body: str, unit: str | None, decimal: str | None) -> tuple[float
         if marks.count(last) != 1 or last not in ".,":
             return None, None
         head = parts[:-1]
-        if 1 <= len(head[0]) <= 3 and (all(len(p) == 3 for p in head[1:]) or ("," in kinds and last == "." and len(head) > 2 and all(len(p) == 2 for p in head[1:-1]))):
+        if 1 <= len(head[0]) <= 3 and (all(len(p) == 3 for p in head[1:]) or ("," in kinds and last == "." and len(head) > 2 and all(len(p) == 2 for p in head[1:-1]) and len(head[-1]) == 3)):
             return float("".join(head) + "." + (parts[-1] or "0")), "two_marks"
         return None, None
     if len(kinds) > 2:
@@ -100,10 +97,86 @@ def _read_body(body: str, unit: str | None, decimal: str | None) -> tuple[float
     return float(f"{parts[0] or '0'}.{parts[1] or '0'}"), "decimal"
 
 
-@F.pandas_udf(READING)
-def number_reading(text: pd.Series) -> pd.DataFrame:
-    rows = [read_number(None if pd.isna(x) else x) for x in text]
-    return pd.DataFrame(rows, columns=["value", "unit", "rule", "state"])
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def number_reading(text: Column, decimal: str | None = None) -> Column:
+    """``struct(value, unit, rule, state)`` as ``read_number`` gives it, by expressions of
+    the JVM. Null, empty and texts over 64 characters hold no number."""
+    no = F.struct(F.lit(None).cast("double").alias("value"), F.lit(None).cast("string").alias("unit"), F.lit(None).cast("string").alias("rule"), F.lit("no_number").alias("state"))
+    blank = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x1c-\x1f\x85]"
+    trim = lambda c: F.regexp_replace(c, f"^{blank}+|{blank}+$", "")
+    signs = F.create_map(*(F.lit(x) for k, v in SIGNS.items() for x in (k, v or "kr")))
+    codes = sorted(CODES)
+
+    def unit_of(x: Column) -> Column:
+        return F.when(x == "%", "%").when(signs[x].isNotNull(), signs[x]).when(F.upper(x).isin(codes), F.upper(x))
+
+    def settle(x: Column) -> Column:
+        """The reading of struct(minus, before, body, after, dash)."""
+        before, after, body = x["before"], x["after"], x["body"]
+        only = unit_of(F.concat(before, after))
+        both = F.when(F.upper(after).isin(codes) & unit_of(before).isin("USD", "kr"), F.upper(after))
+        unit = F.when((before == "") | (after == ""), only).otherwise(both)
+        known = ((before == "") & (after == "")) | unit.isNotNull()
+        sign = F.when(x["minus"], -1.0).otherwise(1.0)
+        return F.when(~known | (F.length(F.regexp_replace(body, "[^0-9]", "")) > 18), no_unit(unit, known)).otherwise(
+            _bind(F.struct(unit.alias("unit"), body.alias("body"), sign.alias("sign"), x["dash"].alias("dash")), value_of)
+        )
+
+    def no_unit(unit: Column, known: Column) -> Column:
+        return F.struct(F.lit(None).cast("double").alias("value"), F.when(known, unit).alias("unit"), F.lit(None).cast("string").alias("rule"), F.lit("no_number").alias("state"))
+
+    def value_of(x: Column) -> Column:
+        body, unit = x["body"], x["unit"]
+        like = lambda p: body.rlike(p)
+        plain = like(r"^\d+$")
+        two = like(r"^\d{1,3}(?:(?:,\d{3})+\.|(?:\.\d{3})+,|(?:'\d{3})+[.,]|(?: \d{3})+[.,])\d*$") | like(r"^\d{1,3}(?:,\d{2})+,\d{3}\.\d*$")
+        grouped = like(r"^\d{1,3}(?:(?:,\d{3}){2,}|(?:\.\d{3}){2,}|(?:'\d{3})+|(?: \d{3})+)$")
+        lakh = like(r"^\d{1,2}(?:,\d{2})+,\d{3}$")
+        one = like(r"^\d+[.,]\d*$")
+        either = one & like(r"^[1-9]\d{0,2}[.,]\d{3}$")
+        kind = F.regexp_extract(body, r"([.,])", 1)
+        no_minor = either & F.coalesce(unit.isin(sorted(WHOLE)), F.lit(False))
+        language = either & unit.isNull() & F.lit(decimal is not None)
+        divides = language & (kind == F.lit(decimal or ""))
+        rule = (
+            F.when(plain, "whole").when(two, "two_marks").when(grouped, "grouped").when(lakh, "lakh").when(no_minor, "no_minor_unit")
+            .when(language, "language").when(either, "either").when(one, "decimal")
+        )
+        digits = F.regexp_replace(body, "[^0-9]", "")
+        point = F.regexp_replace(F.regexp_replace(body, r"[.,](?=\d*$)", "p"), "[^0-9p]", "")
+        point = F.regexp_replace(point, "p", ".")
+        fraction = two | divides | (one & ~either)
+        value = F.when(rule.isNull() | (rule == "either"), F.lit(None)).when(fraction, point.try_cast("double")).otherwise(digits.try_cast("double"))
+        return F.struct(
+            (value * x["sign"]).cast("double").alias("value"),
+            unit.alias("unit"),
+            F.when(x["dash"], "dash_ending").otherwise(rule).alias("rule"),
+            F.when(value.isNotNull(), "read").when((rule == "either") & ~x["dash"], "unsettled").otherwise("no_number").alias("state"),
+        )
+
+    def cut(t: Column) -> Column:
+        """Sign, what stands before and after the number, and its body."""
+        rest = F.when(t.rlike("^[+\u2212-]"), trim(F.substr(t, F.lit(2)))).otherwise(t)
+        mark = r"[\d.,'\u2019\u00a0\u202f\u2009 ]"
+        body = F.regexp_extract(rest, rf"^[^\d]*(\d{mark}*)", 1)
+        after = trim(F.regexp_replace(rest, rf"^[^\d]*\d{mark}*", ""))
+        body = F.regexp_replace(F.translate(body, "\u2019\u00a0\u202f\u2009", "'   "), " +$", "")
+        dash = body.rlike("[.,]$") & after.rlike("^[-\u2013\u2014]")
+        return F.struct(
+            t.rlike("^[\u2212-]").alias("minus"),
+            trim(F.regexp_extract(rest, r"^([^\d]*)", 1)).alias("before"),
+            F.regexp_replace(body, "[.,]$", "").alias("body"),
+            F.when(dash, trim(F.substr(after, F.lit(2)))).otherwise(after).alias("after"),
+            dash.alias("dash"),
+        )
+
+    trimmed = trim(text)
+    fits = text.isNotNull() & (F.length(trimmed) <= 64) & trimmed.rlike(r"\d")
+    return F.when(fits, _bind(trimmed, lambda t: _bind(cut(t), settle))).otherwise(no)
 
 
 def amount_readings(text: Column) -> Column:

@@ -12,6 +12,7 @@ from ..sources import files as FI
 from ..sources import robots as RO
 from ..sources import sitemaps as SM
 from .registry import query, read
+from .urls import _src
 
 _ROBOTS = r"""docs as materialized (select doc_id as site, text from documents where text is not null and regexp_matches(lower(text), '(^|\n)\s*(user-agent|disallow)\s*:')),
 ln as (select site, unnest(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10))) as raw, generate_subscripts(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)), 1) - 1 as line_no from docs),
@@ -125,18 +126,27 @@ def failure_classes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """with p as (select distinct response_id, status, markdown, markdown_truncated from preview_responses where requested_url is null or final_url is null),
-v as (select response_id, max(verification) as verification from results group by 1),
-x as (select p.*, v.verification, coalesce(v.verification = 'passed', false) as ok, lower(coalesce(markdown, '')) as low, length(coalesce(markdown, '')) <= 2000 as short from p left join v using (response_id))
+    _src(
+        "select distinct response_id, 'a' as side, requested_url as url from preview_responses where requested_url is not null union all "
+        "select distinct response_id, 'b', final_url from preview_responses where final_url is not null"
+    )
+    + """, f as (select response_id, side, regexp_replace(visit_key, '\\?.*$', '') as key, canonical,
+  len(list_filter(string_split(path, '/'), lambda x: x <> '')) as depth from v),
+r as (select a.response_id, b.canonical is not null and a.canonical is not null and a.key <> b.key and b.depth < a.depth as off
+  from f a join f b on a.response_id = b.response_id and a.side = 'a' and b.side = 'b'),
+p as (select distinct response_id, status, markdown, markdown_truncated from preview_responses),
+t as (select response_id, max(verification) as verification from results group by 1),
+x as (select p.*, t.verification, coalesce(r.off, false) as off, coalesce(t.verification = 'passed', false) as ok, lower(coalesce(markdown, '')) as low, length(coalesce(markdown, '')) <= 2000 as short
+  from p left join t using (response_id) left join r using (response_id))
 select response_id, case
  when not ok and short and regexp_matches(substring(low, 1, 2000), 'service unavailable|bad gateway|gateway time-?out|internal server error|under maintenance|we are doing maintenance|error establishing a (connection to the )?database') then 'not_served'
+ when not ok and off then 'not_served'
  when not ok and short and regexp_matches(low, '(log|sign) in to (continue|view|see)|please (log|sign) in|session (has )?(ended|expired)|members only') then 'not_served'
  when ok then 'ready' when verification = 'failed' then 'not_extracted' when status = 'blocked' then 'not_served' when status = 'timeout' then 'not_loaded'
  when status in ('failed', 'invalid_url') then 'not_served' when trim(coalesce(markdown, '')) = '' then 'not_extracted' when coalesce(markdown_truncated, false) then 'not_loaded' else 'ready' end as state from x"""
 )
 def readiness(spark: SparkSession, sf: str) -> DataFrame:
-    """Readiness of every response. (The SQL beside it covers those whose redirect cannot be
-    judged, as an address is missing.)"""
+    """Readiness of every response."""
     p = read(spark, sf, "preview_responses")
     p = p.select("response_id", "status", "requested_url", "final_url", "markdown", "markdown_truncated").dropDuplicates(["response_id"])
     v = read(spark, sf, "results").groupBy("response_id").agg(F.max("verification").alias("verification"))

@@ -89,3 +89,18 @@ def test_gates(spark):
     rows = [(429, {}, "x"), (200, {}, "Just a moment"), (200, {}, "just a moment " + "y" * 5000), (403, {}, ""), (None, {}, "captcha"), (200, {"cf-mitigated": "challenge"}, None), (401, {}, None)]
     df = spark.createDataFrame(rows, "s int, h map<string,string>, b string")
     assert [r.g for r in df.select(P.gate(F.col("s"), F.col("h"), F.col("b"))["reason"].alias("g")).collect()] == ["rate_limit", "challenge", None, None, None, "challenge", "login_wall"]
+
+
+def test_readings_of_the_two_readers_are_equal(spark):
+    """The expressions of the JVM against the plain reader, over forms put together at random."""
+    import random
+
+    rng = random.Random(5)
+    pieces = ["$", "€", "USD", "eur", "kr", "JPY", "%", " ", "\u00a0", "-", "+", "\u2212", "1", "0", "12", "123", "1234", "000", ",", ".", "'", "\u2019", "x", "\u2013", "zł", "CA"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(9))) for _ in range(6000)]
+    texts += ["1,234.56", "1.234,56 €", "12,34,567.89", "12,34,567", "1'234.5", "1 234,5", "1.234", "0.123", "¥1,234", "5,-", "5.–", "1" * 19, "9" * 70, "", None, " 7 ", "12.3.4", "1,2,3"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for decimal in (None, ".", ","):
+        got = {r.i: tuple(r.r) for r in df.select("i", N.number_reading(F.col("t"), decimal).alias("r")).collect()}
+        for i, t in enumerate(texts):
+            assert got[i] == N.read_number(t, decimal), (t, decimal)

@@ -1,4 +1,4 @@
-"""Queries whose SQL covers a part of the rows, over small tables and by plain Python."""
+"""Queries over small tables, by plain Python beside their SQL."""
 
 import hashlib
 
