@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import durable, shared_dir  # noqa: F401
+
 #: A side is broadcast only when it is known to be at most this many bytes.
 BROADCAST_BYTES = 8 << 20
 
@@ -17,32 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``.
-
-    Only on a purely local master, and only where the setting is unset, a folder of
-    this machine is made and set instead.
-    """
-    sc = spark.sparkContext
-    own = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
-    found = spark.conf.get("spark.checkpoint.dir", None) or own
-    if not found:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="pagelattice-")
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` written as a table to the shared folder and read again: a cut lineage
-    that survives the loss of executors. The folder's owner removes the tables."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/pagelattice-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def join_small(left: DataFrame, right: DataFrame, on, how: str, row_bytes: int) -> DataFrame:
     """Join that broadcasts ``right`` only after counting it.
 
