@@ -2,41 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, ``spark.checkpoint.dir``; on a purely local master
-    without that setting, a folder of this machine."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="pagelattice-")
-    return folder.rstrip("/")
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again, so that a loop's lineage stays
-    short and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/pagelattice-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..shared import durable
 
 
-def rooted(nodes: DataFrame, most: int = 50) -> DataFrame:
+def rooted(nodes: DataFrame) -> DataFrame:
     """``id, root, depth`` of every node whose chain of parents ends at a root, from
     ``id, parent`` rows. Chains that run in a circle, or to a node that is not there, have
-    no root and no row. A level per round; each round joins only the last level."""
+    no root and no row. A level per round, to the deepest; each round joins only the last level.
+    Rows that repeat an id count once each."""
     nodes = durable(nodes.select("id", "parent"))
     level = durable(nodes.where("parent is null").select("id", F.col("id").alias("root"), F.lit(0).alias("depth")))
     out = level
-    for depth in range(1, most + 1):
+    depth = 0
+    while True:
+        depth += 1
         above = level.select(F.col("id").alias("parent"), "root")
         level = durable(nodes.join(above, "parent").select("id", "root", F.lit(depth).alias("depth")))
         if level.isEmpty():
@@ -64,14 +46,14 @@ def crawl(edges: DataFrame, seeds: DataFrame, depth: int, pages: int | None = No
     return visited
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``id, component`` (least id) of every node of ``a, b`` edges, by alternating large-star
     and small-star rounds, which need few rounds even on long chains. Only lists of
     neighbours' minima are computed: no node's neighbours are gathered."""
     e = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a is not null and b is not null")
     nodes = durable(e.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     links = durable(e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    for _ in range(most):
+    while True:  # every round but the last brings some node nearer to its least
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))

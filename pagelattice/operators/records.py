@@ -58,14 +58,10 @@ def compact(items: DataFrame, most: int) -> DataFrame:
 def unnest_json(rows: DataFrame, keys: list[str], column: str, path: str = "$") -> DataFrame:
     """A row for each element of a JSON array, as variants: ``pos``, ``value``. Null or other
     JSON gives none."""
-    spark = rows.sparkSession
-    view = f"unnest_{abs(hash((column, path, tuple(keys)))) % 10**9}"
-    rows.select(*keys, F.try_parse_json(column).alias("v")).createOrReplaceTempView(view)
-    names = ", ".join(f"t.{k}" for k in keys)
-    return spark.sql(
-        f"select {names}, e.pos, e.value from {view} t, lateral variant_explode(variant_get(t.v, '{path}', 'variant')) e "
-        f"where schema_of_variant(variant_get(t.v, '{path}', 'variant')) like 'ARRAY%'"
-    )
+    v = rows.select(*keys, F.variant_get(F.try_parse_json(column), path, "variant").alias("_v"))
+    arrays = v.where(F.schema_of_variant("_v").startswith("ARRAY"))
+    each = rows.sparkSession.tvf.variant_explode(F.col("_v").outer())
+    return arrays.lateralJoin(each).select(*keys, "pos", "value")
 
 
 def fan_out(events: DataFrame, destinations: DataFrame, on: str, existing: DataFrame) -> DataFrame:

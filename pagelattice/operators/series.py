@@ -83,46 +83,6 @@ def earliest_start(steps: DataFrame, host: str, order: str, delay_ms: str) -> Da
     return steps.withColumn("earliest_ms", F.coalesce(F.sum(delay_ms).over(w), F.lit(0)))
 
 
-#: Slower after so many signals, faster after so many normal pages; bounds in milliseconds.
-SLOW_AFTER, FAST_AFTER, LEAST_MS, MOST_MS = 2, 10, 2_000, 120_000
-
-
-def pace_step(delay: int, slow: int, normal: int, signal: bool, floor: int = 0) -> tuple[int, int, int]:
-    """One page's effect on a host's delay: doubled (``LEAST_MS`` at least) by the second
-    signal in a row, halved (``floor`` at least, then 0 under ``LEAST_MS``) by ten normal
-    pages in a row."""
-    if signal:
-        slow, normal = slow + 1, 0
-        if slow >= SLOW_AFTER:
-            delay, slow = min(MOST_MS, max(LEAST_MS, delay * 2)), 0
-    else:
-        slow, normal = 0, normal + 1
-        if normal >= FAST_AFTER:
-            half = delay // 2
-            delay, normal = (half if half >= LEAST_MS else floor), 0
-    return delay, slow, normal
-
-
-def pacing(pages: DataFrame, host: str, order: str, signal: str) -> DataFrame:
-    """The delay of each host after each of its pages: an order-dependent state machine, so
-    rows are brought together by host and order, and streamed through it with one host's
-    state at a time (a host's rows are never held as a group)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, state = None, (0, 0, 0)
-        for b in batches:
-            out = []
-            for h, s in zip(b["host"], b["signal"]):
-                if h != at:
-                    at, state = h, (0, 0, 0)
-                state = pace_step(*state, bool(s))
-                out.append(state[0])
-            yield pd.DataFrame({"host": b["host"], "seq": b["seq"], "delay_ms": out})
-
-    rows = pages.select(F.col(host).alias("host"), F.col(order).cast("long").alias("seq"), F.coalesce(F.col(signal), F.lit(False)).alias("signal"))
-    return rows.where("host is not null").repartition("host").sortWithinPartitions("host", "seq").mapInPandas(run, "host string, seq long, delay_ms long")
-
-
 def repeated_within(rows: DataFrame, key: str, at_s: str, seconds: int = 600, least: int = 3) -> DataFrame:
     """How many rows of a key fall in the time up to each row; repeated from ``least`` on."""
     w = Window.partitionBy(key).orderBy(at_s).rangeBetween(-seconds, 0)

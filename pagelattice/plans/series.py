@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from ..operators import pace as PC
 from ..operators import series as X
 from .registry import query, read
 
@@ -143,11 +144,27 @@ def slot_readiness(spark: SparkSession, sf: str) -> DataFrame:
     return X.earliest_start(_pages(spark, sf), "host", "response_id", "total_ms").select("response_id", "earliest_ms")
 
 
-@query()
+PACING = (
+    f"""with recursive {_P}, o as (select host, response_id as seq, status in ('blocked', 'timeout') as sig, row_number() over (partition by host order by response_id) as k
+  from p where host is not null),
+s as (select host, seq, k, 0::bigint as delay, sig::int as streak, 0 as calm, 0 as slow, null::varchar as change, 0::bigint as hold from o where k = 1 union all
+  select n.host, n.seq, n.k,
+    case when n.sig and s.streak + 1 >= 2 then least(120000, greatest(2000, case when s.slow > 0 then s.delay * 2 else 0 end)) when not n.sig and s.slow > 0 and s.calm + 1 >= 10 then s.delay // 2 else s.delay end,
+    case when n.sig and s.streak + 1 < 2 then s.streak + 1 else 0 end,
+    case when n.sig or s.slow = 0 or s.calm + 1 >= 10 then 0 else s.calm + 1 end,
+    case when n.sig and s.streak + 1 >= 2 then s.slow + 1 when not n.sig and s.slow > 0 and s.calm + 1 >= 10 and s.delay // 2 <= 0 then 0 else s.slow end,
+    case when n.sig and s.streak + 1 >= 2 then 'slowed' when not n.sig and s.slow > 0 and s.calm + 1 >= 10 then case when s.delay // 2 <= 0 then 'restored' else 'eased' end end,
+    case when n.sig and s.streak + 1 >= 2 then least(120000, greatest(2000, case when s.slow > 0 then s.delay * 2 else 0 end)) else 0 end
+  from s join o n on n.host = s.host and n.k = s.k + 1)
+select host, seq, delay as delay_ms, change, hold as hold_ms from s"""
+)
+
+
+@query(PACING)
 def pacing(spark: SparkSession, sf: str) -> DataFrame:
-    """Delays of hosts by the state machine (tested against a plain loop)."""
-    p = _pages(spark, sf).withColumn("signal", F.col("status").isin("blocked", "timeout"))
-    return X.pacing(p, "host", "response_id", "signal")
+    """The pace of hosts after each of their pages."""
+    p = _pages(spark, sf).withColumn("signal", F.when(F.col("status").isin("blocked", "timeout"), "challenge"))
+    return PC.pacing(p, "host", "response_id", "signal")
 
 
 @query(

@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
-from ..operators import graph
+from ..shared import new_path
 from ..sources import store
 from ..streaming import jobs as J
 from .registry import query, read
+from .series import PACING
 
 
 def _drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     spark = stream.sparkSession
-    folder = f"{graph.shared_dir(spark)}/pagelattice-stream-{uuid.uuid4().hex}"
+    folder = new_path(spark)
     schema = stream.schema
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     J.run_once(stream, f"{folder}/out", f"{folder}/checkpoint", mode)
@@ -72,11 +71,11 @@ def stream_monitors(spark: SparkSession, sf: str) -> DataFrame:
     return _drain(J.monitor_stream(o)).select("key", "event", "version")
 
 
-@query()
+@query(PACING)
 def stream_pacing(spark: SparkSession, sf: str) -> DataFrame:
-    """Delays of hosts with the pace kept as state (tested against the batch operator)."""
-    p = _stream(spark, sf, "preview_responses").where("requested_url is not null")
-    p = p.select(U.host(F.col("requested_url")).alias("host"), F.col("response_id").alias("seq"), F.col("status").isin("blocked", "timeout").alias("signal"))
+    """Delays of hosts with the pace kept as state."""
+    p = _stream(spark, sf, "preview_responses").where("requested_url is not null and markdown is not null")
+    p = p.select(U.host(F.col("requested_url")).alias("host"), F.col("response_id").alias("seq"), F.when(F.col("status").isin("blocked", "timeout"), "challenge").alias("signal"))
     return _drain(J.pacing_stream(p.where("host is not null").dropDuplicates(["host", "seq"])))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.series import pace_step
+from ..operators.pace import PACED, Pace, step
 
 
 def folder_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -142,22 +142,31 @@ def monitor_stream(observations: DataFrame, key: str = "run_id") -> DataFrame:
     )
 
 
-def pacing_stream(pages: DataFrame, host: str = "host") -> DataFrame:
-    """The delay of each host after each page, kept as state; rows ``host, seq, signal``."""
+def pacing_stream(pages: DataFrame, host: str = "host", baseline: int = 0, idle: str | None = None) -> DataFrame:
+    """The pace of each host after each page, kept as state; rows ``host, seq, signal`` (null for
+    a normal page) and, if there, ``earlier``. A host's rows of a micro-batch pass one task in
+    order of ``seq``, so a batch is to be bounded by the source. With ``idle`` a host not seen
+    for so long is forgotten, and the state does not grow with every host ever met."""
 
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.get if state.exists else (0, 0, 0)
+    def one(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        p = Pace(*state.get) if state.exists else Pace(delay=baseline)
         rows = pd.concat(list(frames)).sort_values("seq")
         out = []
-        for seq, signal in zip(rows["seq"], rows["signal"]):
-            now = pace_step(*map(int, now), bool(signal))
-            out.append((k[0], seq, now[0]))
-        state.update(tuple(now))
-        yield pd.DataFrame(out, columns=["host", "seq", "delay_ms"])
-
-    return pages.select(F.col(host).alias("host"), "seq", "signal").groupBy("host").applyInPandasWithState(
-        step, "host string, seq long, delay_ms long", "delay int, slow int, normal int", "append", GroupStateTimeout.NoTimeout
-    )
+        for seq, signal, earlier in zip(rows["seq"], rows["signal"], rows["earlier"]):
+            p, change, hold = step(p, signal, earlier, baseline)
+            out.append((k[0], seq, p.delay, change, hold))
+        state.update(tuple(p))
+        if idle:
+            state.setTimeoutDuration(int(pd.Timedelta(idle).total_seconds() * 1000))
+        yield pd.DataFrame(out, columns=["host", "seq", "delay_ms", "change", "hold_ms"])
+
+    rows = pages.select(F.col(host).alias("host"), "seq", "signal", (F.col("earlier") if "earlier" in pages.columns else F.lit(None)).cast("string").alias("earlier"))
+    state = "delay long, streak int, calm int, slowdowns int, floor long, cause string, eased boolean, settled string"
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
+    return rows.groupBy("host").applyInPandasWithState(one, PACED, state, "append", timeout)
 
 
 def route_statistics(calls: DataFrame, ttl: str = "7 days", least: int = 3) -> DataFrame:

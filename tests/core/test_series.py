@@ -3,7 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from pagelattice.operators import deliveries as DL
 from pagelattice.operators import graph
+from pagelattice.operators import pace as PC
 from pagelattice.operators import schema_map as M
 from pagelattice.operators import series as X
 from pagelattice.sources import robots as RO
@@ -14,30 +16,84 @@ from pagelattice.streaming import jobs as J
 
 def test_pacing_batch_equals_stream_and_loop(spark, tmp_path):
     rng = random.Random(3)
-    rows = [(f"h{rng.randrange(3)}", i, rng.random() < 0.3) for i in range(300)]
+    kinds = (None, None, None, PC.SENT_AWAY, "challenge")
+    rows = [(f"h{rng.randrange(3)}", i, rng.choice(kinds), rng.choice(kinds)) for i in range(300)]
     want, state = {}, {}
-    for h, i, s in rows:
-        state[h] = X.pace_step(*state.get(h, (0, 0, 0)), s)
-        want[h, i] = state[h][0]
-    df = spark.createDataFrame(rows, "host string, seq long, signal boolean")
-    assert {(r.host, r.seq): r.delay_ms for r in X.pacing(df, "host", "seq", "signal").collect()} == want
+    for h, i, s, e in rows:
+        state[h], change, hold = PC.step(state.get(h, PC.Pace()), s, e)
+        want[h, i] = state[h].delay, change, hold
+    df = spark.createDataFrame(rows, "host string, seq long, signal string, earlier string")
+    told = lambda d: {(r.host, r.seq): (r.delay_ms, r.change, r.hold_ms) for r in d.collect()}
+    assert told(PC.pacing(df, "host", "seq", "signal", "earlier")) == want
     # two micro-batches: the state goes on from the first
     src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
     spark.conf.set("spark.sql.shuffle.partitions", "2")
     for part in (rows[:150], rows[150:]):
         spark.createDataFrame(part, df.schema).coalesce(1).write.mode("append").parquet(src)
-        J.run_once(J.pacing_stream(J.folder_stream(spark, src)), out, ck)
-    assert {(r.host, r.seq): r.delay_ms for r in spark.read.parquet(out).collect()} == want
-
-
-def test_pace_bounds():
-    s = (0, 0, 0)
-    for _ in range(40):
-        s = X.pace_step(*s, True)
-    assert s[0] == X.MOST_MS
-    for _ in range(200):
-        s = X.pace_step(*s, False)
-    assert s[0] == 0
+        J.run_once(J.pacing_stream(J.folder_stream(spark, src), idle="1 day"), out, ck)
+    assert told(spark.read.parquet(out)) == want
+
+
+def paces(*pages, baseline=0):
+    p, out = PC.Pace(delay=baseline), []
+    for s, e in pages:
+        p, change, hold = PC.step(p, s, e, baseline)
+        out.append((p.delay, change, hold))
+    return out
+
+
+def test_pace_slows_and_recovers():
+    down = paces(*[("challenge", None)] * 40)
+    assert [x for x in down if x[1]][:3] == [(2000, "slowed", 2000), (4000, "slowed", 4000), (8000, "slowed", 8000)] and down[-1][0] == PC.LONGEST_MS
+    up = paces(*[("challenge", None)] * 4, *[(None, None)] * 130)
+    changes = [x[:2] for x in up if x[1]][2:]
+    assert changes[0] == (2000, "eased") and changes[-1] == (0, "restored")
+    assert paces(*[("challenge", None)] * 2, *[(None, None)] * 20, baseline=500)[-1] == (500, "restored", 0)
+    assert paces(("challenge", None), (None, None), ("challenge", None))[-1][0] == 0  # not two in a row
+
+
+def test_pace_floor_hold_and_settling():
+    away = PC.SENT_AWAY
+    assert paces((away, None), (away, None))[-1] == (2000, "slowed", PC.HOLD_MS)
+    # a page sent away that answers now keeps the wait from going below what was in force
+    kept = paces(*[(away, None)] * 4, (None, away), *[(None, None)] * 60)
+    assert kept[-1][0] == 4000
+    # the same page with the same signal at a long wait: the signal counts no more
+    done = paces(*[(away, None)] * 10, (away, away), *[(away, None)] * 5)
+    assert done[9][0] == 32000 and done[10] == (0, "settled", 0) and all(x == (0, None, 0) for x in done[11:])
+
+
+def test_due_deliveries(spark):
+    d = spark.createDataFrame(
+        [(1, "a", "pending", 5, None), (2, "a", "pending", 50, None), (3, "b", "pending", 5, None), (4, "c", "pending", 5, None), (5, "a", "delivering", 0, 9), (6, "a", "delivering", 0, 90), (7, None, "pending", 5, None)],
+        "id int, destination_id string, state string, next_at long, lease_until long",
+    )
+    t = spark.createDataFrame([("a", "https://x", True), ("b", "https://x", False), ("c", "https://y", True)], "destination_id string, origin string, enabled boolean")
+    w = DL.cooldowns(spark.createDataFrame([("https://y", 3), (None, 99)], "origin string, not_before long"), spark.createDataFrame([("https://y", 40), ("https://x", 1)], "origin string, not_before long"))
+    assert {(r.origin, r.not_before) for r in w.collect()} == {("https://y", 40), ("https://x", 1)}
+    assert sorted(r.id for r in DL.due(d, t, w, 10).collect()) == [1, 5]
+    assert sorted(r.id for r in DL.due(d, t, w, 40).collect()) == [1, 4, 5]
+
+
+def test_route_history(spark):
+    rows = [("h", "r1", "v", "1", t, t % 2 == 0) for t in (10, 11, 12)] + [("h", "r2", "v", "1", 12, True), ("h", "r2", "u", "1", 12, True), ("h", "r1", "v", "0", 12, True), ("h", "r1", "v", "1", 1, True)]
+    c = spark.createDataFrame(rows, "host string, route string, vendor string, version string, created_ms long, ok boolean")
+    got = {(r.route, r.vendor): (r.basis, r.tries, r.successes) for r in DL.route_history(c, 15, 10, "1").collect()}
+    assert got == {("r1", "v"): ("route", 3, 2), ("r2", "v"): ("host_egress", 4, 3), ("r2", "u"): ("thin", 1, None)}
+
+
+def test_recipes_do_not_change(spark):
+    s = "id string, revision int, body string"
+    one, _ = DL.register_recipes(spark.createDataFrame([], s), spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 0, "z"), (None, 1, "z")], s))
+    two, refused = DL.register_recipes(one, spark.createDataFrame([("a", 1, "other"), ("a", 1, "x"), ("c", 1, "w")], s))
+    assert {(r.id, r.revision, r.body) for r in two.collect()} == {("a", 1, "x"), ("a", 2, "y"), ("c", 1, "w")}
+    assert [(r.id, r.revision) for r in refused.collect()] == [("a", 1)]
+
+
+def test_long_chains_of_parents(spark):
+    n = spark.createDataFrame([(i, i - 1 if i else None) for i in range(60)] + [(90, 91), (91, 90)], "id int, parent int")
+    got = {r.id: (r.root, r.depth) for r in graph.rooted(n).collect()}
+    assert got == {i: (0, i) for i in range(60)}
 
 
 def test_job_events_once_over_restarts(spark, tmp_path):
