@@ -11,20 +11,20 @@ from ..shared import durable
 def rooted(nodes: DataFrame) -> DataFrame:
     """``id, root, depth`` of every node whose chain of parents ends at a root, from
     ``id, parent`` rows. Chains that run in a circle, or to a node that is not there, have
-    no root and no row. A level per round, to the deepest; each round joins only the last level.
-    Rows that repeat an id count once each."""
-    nodes = durable(nodes.select("id", "parent"))
-    level = durable(nodes.where("parent is null").select("id", F.col("id").alias("root"), F.lit(0).alias("depth")))
-    out = level
-    depth = 0
+    no root and no row. Each round doubles how far up a node looks, so there are as many
+    rounds as the deepest chain has binary digits; a round that settles no node is the last."""
+    nodes = durable(nodes.select("id", "parent").where("id is not null").distinct())
+    done = durable(nodes.where("parent is null").select("id", F.col("id").alias("root"), F.lit(0).alias("depth")))
+    todo = nodes.where("parent is not null").select("id", F.col("parent").alias("at"), F.lit(1).alias("far"))
     while True:
-        depth += 1
-        above = level.select(F.col("id").alias("parent"), "root")
-        level = durable(nodes.join(above, "parent").select("id", "root", F.lit(depth).alias("depth")))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+        top = done.select(F.col("id").alias("at"), "root", "depth")
+        new = durable(todo.join(top, "at").select("id", "root", (F.col("far") + F.col("depth")).alias("depth")))
+        if new.isEmpty():
+            return done
+        rest = durable(todo.join(new, "id", "left_anti"))
+        above = rest.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("far").alias("more"))
+        todo = durable(rest.join(above, "at").select("id", F.col("next").alias("at"), (F.col("far") + F.col("more")).alias("far")))
+        done = done.unionByName(new)
 
 
 def crawl(edges: DataFrame, seeds: DataFrame, depth: int, pages: int | None = None) -> DataFrame:

@@ -146,7 +146,8 @@ def pacing_stream(pages: DataFrame, host: str = "host", baseline: int = 0, idle:
     """The pace of each host after each page, kept as state; rows ``host, seq, signal`` (null for
     a normal page) and, if there, ``earlier``. A host's rows of a micro-batch pass one task in
     order of ``seq``, so a batch is to be bounded by the source. With ``idle`` a host not seen
-    for so long is forgotten, and the state does not grow with every host ever met."""
+    for so long is forgotten, and the state does not grow with every host ever met; that is for
+    streams that run on, as ``run_once`` would wait for it without end."""
 
     def one(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
