@@ -23,7 +23,8 @@ def rooted(nodes: DataFrame) -> DataFrame:
             return done
         rest = durable(todo.join(new, "id", "left_anti"))
         above = rest.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("far").alias("more"))
-        todo = durable(rest.join(above, "at").select("id", F.col("next").alias("at"), (F.col("far") + F.col("more")).alias("far")))
+        further = rest.join(above, "at", "left").select("id", F.coalesce("next", "at").alias("at"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"))
+        todo = durable(further)
         done = done.unionByName(new)
 
 
