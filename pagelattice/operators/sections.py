@@ -219,3 +219,16 @@ def layout_markdown(lines: DataFrame, removed: DataFrame) -> DataFrame:
 def pages_of_spans(pages: DataFrame, spans: DataFrame) -> DataFrame:
     """Pages that each span ``doc_id, s, e`` of a document's text touches."""
     return spans.join(pages, "doc_id").where("span_start < e and s < span_end").select("doc_id", "s", "e", "page_no")
+
+
+def label_lines(pages: DataFrame, doc: str, text: str) -> DataFrame:
+    """``doc, line, label, value``: the lines (from 1) of each text of the form ``label: value``,
+    a label of up to 80 characters with a letter in it that is no scheme of an address, and a
+    value of up to 200. Null texts give none."""
+    blank = r"\t-\r \x{a0}"
+    lines = pages.where(F.col(text).isNotNull()).select(doc, F.posexplode(F.split(text, "\n", -1)).alias("pos", "raw"))
+    x = F.regexp_replace("raw", rf"^[{blank}\x{{feff}}]+|[{blank}\x{{feff}}]+$", "")
+    form = rf"^([^:]{{1,80}}?)[{blank}]*:[{blank}]+([^{blank}][^\n\r]{{0,199}})$"
+    found = lines.select(doc, (F.col("pos") + 1).cast("int").alias("line"), F.regexp_extract(x, form, 1).alias("label"), F.regexp_extract(x, form, 2).alias("value"))
+    found = found.where((F.col("value") != "") & F.col("label").rlike(r"\p{L}") & ~F.lower("label").isin("http", "https", "mailto", "ftp"))
+    return found.select(doc, "line", F.trim("label").alias("label"), F.trim("value").alias("value"))
