@@ -1,8 +1,9 @@
 """HTML as a tree per page, and as a node table.
 
 The standard library gives tokens only; ``parse`` builds a tree from them with void
-elements, raw text, implied end tags and table sections. The adoption of misnested inline
-elements that browsers do is not copied. The node table numbers nodes in document order
+elements, raw text, implied end tags, table sections, and misnested formatting: what is
+still open when its block ends is opened anew behind it, and a block within a formatting
+element that ends first is taken out of it. The node table numbers nodes in document order
 and gives each the number of its last descendant, so that "within" is a range of numbers
 and "child" an equality of the parent's number.
 """
@@ -42,6 +43,9 @@ CLOSES = {
     "tfoot": (("td", "th", "tr", "thead", "tbody", "tfoot", "caption"), ("table",)),
 }
 BLOCKS = ENDS_P | frozenset("body html li dt dd tr td th thead tbody tfoot caption figcaption summary legend option br".split())
+# Formatting elements, which are opened anew where a block cut them.
+FORMATS = frozenset("a b big code em font i nobr s small strike strong tt u".split())
+CELLS = ("td", "th", "caption")
 _SPACE = re.compile(r"[\t\n\f\r \xa0]+")
 DEEPEST = 512
 
@@ -129,15 +133,60 @@ class _Builder(HTMLParser):
         self.root.children = [self.html]
         self.html.children = [self.head, self.body]
         self.open: list[Node] = [self.body]
+        self.active: list[Node | None] = []  # formatting not ended yet; None where a cell began
         self.in_head = True
 
     def _close(self, tags: tuple[str, ...], scope: tuple[str, ...]) -> None:
         k = len(self.open) - 1
         while k > 0 and self.open[k].tag not in scope:
             if self.open[k].tag in tags:
-                del self.open[k:]
+                self._cut(k)
             k -= 1
 
+    def _cut(self, k: int) -> None:
+        """Ends all open elements from the ``k``-th on; formatting stays active, but none of a
+        cell's beyond the cell."""
+        for n in self.open[k:]:
+            if n.tag in CELLS and None in self.active:
+                del self.active[len(self.active) - 1 - self.active[::-1].index(None) :]
+        del self.open[k:]
+
+    def _reopen(self) -> None:
+        """Opens active formatting that a block's end cut off."""
+        k = len(self.active)
+        while k and self.active[k - 1] is not None and not any(n is self.active[k - 1] for n in self.open):
+            k -= 1
+        for i in range(k, len(self.active)):
+            old = self.active[i]
+            if len(self.open) < DEEPEST:
+                self.active[i] = self._push(old.tag, dict(old.attrs), self.open[-1])
+
+    def _end_format(self, tag: str) -> None:
+        """Ends the last active formatting element of a tag. A block open within it moves behind
+        it, and what the block holds so far is formatted by a copy."""
+        at = next((i for i in range(len(self.active) - 1, -1, -1) if self.active[i] is None or self.active[i].tag == tag), None)
+        if at is None or self.active[at] is None:
+            return self._end_plain(tag)
+        node = self.active.pop(at)
+        k = next((i for i, n in enumerate(self.open) if n is node), None)
+        if k is None:
+            return None
+        blocks = [n for n in self.open[k + 1 :] if n.tag in BLOCKS]
+        if not blocks:
+            return self._cut(k)
+        above = self.open[k - 1]
+        self.open = self.open[:k] + blocks
+        for block in blocks:  # each one taken out of the formatting around it, in turn
+            block.remove()
+            copy = Node(tag, dict(node.attrs), block)
+            copy.children = block.children
+            for c in copy.children:
+                if isinstance(c, Node):
+                    c.parent = copy
+            block.children, block.parent = [copy] if copy.children else [], above
+            above.children.append(block)
+            above = block
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         known: dict[str, str] = {}
         for k, v in attrs:
@@ -157,6 +206,10 @@ class _Builder(HTMLParser):
                 self._close(("p",), ("table", "td", "th", "button", "body"))
             if tag in CLOSES:
                 self._close(*CLOSES[tag])
+            elif tag == "a" and any(n is not None and n.tag == "a" for n in self.active[len(self.active) - self.active[::-1].index(None) if None in self.active else 0 :]):
+                self._end_format("a")
+            if self.active and tag not in BLOCKS and tag not in RAW and tag not in CLOSES:
+                self._reopen()
             parent = self.open[-1]
             if tag in ("td", "th") and parent.tag in ("table", "thead", "tbody", "tfoot"):
                 parent = self._push("tr", {}, parent)
@@ -164,6 +217,13 @@ class _Builder(HTMLParser):
         parent.children.append(node)
         if tag not in VOID and len(self.open) < DEEPEST:
             self.open.append(node)
+            if tag in FORMATS:
+                alike = [i for i, n in enumerate(self.active) if n is not None and n.tag == tag and n.attrs == known]
+                if len(alike) > 2:  # no more than three alike are kept
+                    del self.active[alike[0]]
+                self.active.append(node)
+            elif tag in CELLS:
+                self.active.append(None)
 
     def _push(self, tag: str, attrs: dict[str, str], parent: Node) -> Node:
         node = Node(tag, attrs, parent)
@@ -179,9 +239,15 @@ class _Builder(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag == "head":
             self.in_head = False
+        if tag in FORMATS:
+            self._end_format(tag)
+        else:
+            self._end_plain(tag)
+
+    def _end_plain(self, tag: str) -> None:
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].tag == tag:
-                del self.open[k:]
+                self._cut(k)
                 return
             if self.open[k].tag in ("table", "td", "th") and tag not in ("table", "tr", "td", "th", "thead", "tbody", "tfoot"):
                 return
@@ -194,6 +260,9 @@ class _Builder(HTMLParser):
             self.in_head = False
         if self.open[-1].tag in ("table", "thead", "tbody", "tfoot", "tr") and not data.strip():
             return
+        if self.active and top.tag not in RAW and top.tag not in ("title", "textarea", "table", "thead", "tbody", "tfoot", "tr"):
+            self._reopen()
+            top = self.open[-1]
         top.children.append(data)
 
 

@@ -130,3 +130,43 @@ def test_statements_and_cursors():
             X.decode_cursor(bad)
     with pytest.raises(ValueError):
         X.formats(None, ["nothing"])
+
+
+@pytest.mark.parametrize(
+    "html, tree",
+    [
+        ("<p><b>one</p><p>two</b> three</p>", "<p><b>one</b></p><p><b>two</b> three</p>"),
+        ("<b><i>x</b>y</i>z", "<b><i>x</i></b><i>y</i>z"),
+        ("<b>one<p>two</b>three</p>", "<b>one</b><p><b>two</b>three</p>"),
+        ("<a href=1>x<a href=2>y</a>z", "<a>x</a><a>y</a>z"),
+        ("<table><tr><td><b>x</td><td>y</td></tr></table>z", "<table><tr><td><b>x</b></td><td>y</td></tr></table>z"),
+        ("<p>1<b>2<i>3</b>4</i>5</p>", "<p>1<b>2<i>3</i></b><i>4</i>5</p>"),
+        ("<em><div>a<p>b</em>c</div>d", "<em></em><div><em>a</em><p><em>b</em>c</p></div>d"),
+        ("<ul><li><b>one<li>two</b></ul>", "<ul><li><b>one</b></li><li><b>two</b></li></ul>"),
+        ("</b>x<i>y", "x<i>y</i>"),
+    ],
+)
+def test_misnested_formatting(html, tree):
+    def show(n):
+        return n if isinstance(n, str) else f"<{n.tag}>{''.join(map(show, n.children))}</{n.tag}>"
+
+    assert "".join(map(show, dom.body_of(dom.parse(html)).children)) == tree
+
+
+def test_deep_and_random_markup_keeps_its_text():
+    import random
+
+    rng = random.Random(4)
+    tags = ["b", "i", "a", "p", "div", "li", "ul", "td", "tr", "table", "span", "em", "h2", "section"]
+    for _ in range(300):
+        words, out = [], []
+        for k in range(40):
+            t = rng.choice(tags)
+            out.append(rng.choice([f"<{t}>", f"</{t}>", f"w{k} "]))
+            if out[-1][0] == "w":
+                words.append(f"w{k}")
+        root = dom.parse("".join(out))
+        assert sorted(dom.body_of(root).text().split()) == sorted(words)
+        for n in root.elements():
+            assert all(c.parent is n for c in n.children if isinstance(c, dom.Node))
+    assert len(list(dom.parse("<b><div>" * 5000 + "x").elements())) > 500
