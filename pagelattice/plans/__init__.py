@@ -1,6 +1,6 @@
 """Queries over the input tables, with the SQL that checks them."""
 
-from . import details, pages, records, registry, reports, series, sources, streams, urls  # noqa: F401
+from . import details, messy, pages, records, registry, reports, series, sources, streams, urls  # noqa: F401
 
 
 def queries() -> dict[str, registry.Query]:
