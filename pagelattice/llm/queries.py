@@ -87,6 +87,19 @@ def p7_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p7_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Per capacity what must hold of any packing: every document placed, each once unless it
+    is larger than the capacity, and no container over its capacity."""
+    rows = p7_containers(spark, sf)
+    per = rows.groupBy("pack_id", "capacity_tokens", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("size"))
+    docs = per.groupBy("pack_id").agg(
+        F.count(F.lit(1)).alias("documents"), F.count_if(F.expr("n > 1 and size <= capacity_tokens")).alias("split_small"),
+    )
+    used = rows.groupBy("pack_id", "capacity_tokens", "container").agg(F.sum("n_tokens").alias("used"))
+    over = used.groupBy("pack_id").agg(F.count_if(F.expr("used > capacity_tokens")).alias("overfull"))
+    return docs.join(over, "pack_id").select("pack_id", "documents", "split_small", "overfull")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans(table(spark, sf_dir, "documents"))
 
@@ -108,7 +121,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = [p1_found, p2_found, p3_found, p3_classes, p3_links, p4_found, p4_classes, p5_found, p6_ids, p7_containers, p7_unused, p8_found, p8_shares]
+    names = [p1_found, p2_found, p3_found, p3_classes, p3_links, p4_found, p4_classes, p5_found, p6_ids, p7_containers, p7_unused, p7_checks, p8_found, p8_shares]
     return {f.__name__: shipped(f) for f in names}
 
 
