@@ -20,8 +20,9 @@ GEO = "not available in your (?:country|region)|unavailable for legal reasons|re
 DENIED = "access denied|you do not have permission|zugriff verweigert|accès refusé|acceso denegado|forbidden"
 BOT = "unusual traffic|automated (?:requests|queries)|bot (?:detected|detection)|robot check"
 OUTAGE = "service unavailable|bad gateway|gateway time-?out|internal server error|under maintenance|we are doing maintenance|error establishing a (?:connection to the )?database"
-#: Characters of a body that are looked at, and the length of a body that is short.
-HEAD, SHORT = 65_536, 2_000
+#: The length up to which a body can be a gate or an outage in place of a page; a longer one
+#: is a page, whatever it says. Bodies are read as a whole.
+SHORT = 2_000
 
 
 def _says(head: Column, phrases: str) -> Column:
@@ -31,7 +32,7 @@ def _says(head: Column, phrases: str) -> Column:
 def gate_flags(body: Column) -> Column:
     """What a body says about gates, as booleans: narrow enough to be joined and shuffled
     in place of the text."""
-    head = F.lower(F.substring(F.coalesce(body, F.lit("")), 1, HEAD))
+    head = F.lower(F.coalesce(body, F.lit("")))
     short = F.length(F.coalesce(body, F.lit(""))) <= SHORT
     kinds = {"challenge": CHALLENGE, "captcha": CAPTCHA, "rate": RATE_LIMIT, "login": LOGIN, "geo": GEO, "bot": BOT, "denied": DENIED}
     return F.struct(*((short & _says(head, v)).alias(k) for k, v in kinds.items()))
@@ -102,7 +103,7 @@ def soft_block(status: Column, reason: Column, http_status: Column) -> Column:
 
 def source_unavailable(title: Column, body: Column) -> Column:
     """Does the page only say that its source is out of order?"""
-    head = F.lower(F.substring(F.concat_ws("\n", title, body), 1, SHORT))
+    head = F.lower(F.concat_ws("\n", title, body))
     return (F.length(F.coalesce(body, F.lit(""))) <= SHORT) & _says(head, OUTAGE)
 
 

@@ -306,7 +306,7 @@ def agreed_facts(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     r"""select response_id, title, length(regexp_replace(t, '[\x{ad}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{2064}\x{feff}]', '', 'g')) as shown,
   strpos(t, 'guide') as place, out from (select distinct response_id, title, coalesce(title, '') as t,
-  length(coalesce(markdown, '')) <= 2000 and regexp_matches(substring(lower(concat_ws(chr(10), title, markdown)), 1, 2000), 'service unavailable|bad gateway|gateway time-?out|internal server error|under maintenance|we are doing maintenance|error establishing a (connection to the )?database') as out
+  length(coalesce(markdown, '')) <= 2000 and regexp_matches(lower(concat_ws(chr(10), title, markdown)), 'service unavailable|bad gateway|gateway time-?out|internal server error|under maintenance|we are doing maintenance|error establishing a (connection to the )?database') as out
   from preview_responses)""", shown="int", place="int")
 def titles_shown(spark: SparkSession, sf: str) -> DataFrame:
     """Titles without what cannot be seen, where a word stands in them, and pages that say that

@@ -139,7 +139,7 @@ t as (select response_id, max(verification) as verification from results group b
 x as (select p.*, t.verification, coalesce(r.off, false) as off, coalesce(t.verification = 'passed', false) as ok, lower(coalesce(markdown, '')) as low, length(coalesce(markdown, '')) <= 2000 as short
   from p left join t using (response_id) left join r using (response_id))
 select response_id, case
- when not ok and short and regexp_matches(substring(low, 1, 2000), 'service unavailable|bad gateway|gateway time-?out|internal server error|under maintenance|we are doing maintenance|error establishing a (connection to the )?database') then 'not_served'
+ when not ok and short and regexp_matches(low, 'service unavailable|bad gateway|gateway time-?out|internal server error|under maintenance|we are doing maintenance|error establishing a (connection to the )?database') then 'not_served'
  when not ok and off then 'not_served'
  when not ok and short and regexp_matches(low, '(log|sign) in to (continue|view|see)|please (log|sign) in|session (has )?(ended|expired)|members only') then 'not_served'
  when ok then 'ready' when verification = 'failed' then 'not_extracted' when status = 'blocked' then 'not_served' when status = 'timeout' then 'not_loaded'

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import glob
 import os
 
+from pyarrow import fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -60,7 +60,8 @@ def write_results(rows: DataFrame, folder: str, markdown: Column | None = None)
 class PageFiles(DataSource):
     """``spark.read.format("page_files").load(folder)``: the HTML, XML and text files of a
     folder as ``path, kind, content``; a partition per ``filesPerPartition`` files, read on the
-    executors."""
+    executors. The folder is a path, or an address of any file system that Arrow knows, such
+    as ``hdfs://`` or ``s3://``; on a cluster it is one that all executors reach."""
 
     @classmethod
     def name(cls) -> str:
@@ -84,15 +85,25 @@ class _PageReader(DataSourceReader):
         self.each = int(options.get("filesPerPartition", 256))
 
     def partitions(self) -> list[InputPartition]:
-        paths = sorted(p for p in glob.glob(os.path.join(self.folder, "**", "*"), recursive=True) if os.path.isfile(p))
+        fs, root = _file_system(self.folder)
+        found = fs.get_file_info(pa_fs.FileSelector(root, recursive=True))
+        paths = sorted(f.path for f in found if f.type == pa_fs.FileType.File)
         return [_Files(paths[k : k + self.each]) for k in range(0, len(paths), self.each)] or [_Files([])]
 
     def read(self, partition: _Files):
+        fs, _ = _file_system(self.folder)
         for p in partition.paths:
-            with open(p, "rb") as f:
+            with fs.open_input_file(p) as f:
                 yield p, os.path.splitext(p)[1].lstrip(".").lower(), f.read()
 
 
+def _file_system(folder: str) -> tuple[pa_fs.FileSystem, str]:
+    """The file system of a folder's address, and the path in it."""
+    if "://" in folder or folder.startswith("file:"):
+        return pa_fs.FileSystem.from_uri(folder)
+    return pa_fs.LocalFileSystem(), os.path.abspath(folder)
+
+
 def register(spark: SparkSession) -> None:
     """Makes the data source known to a session."""
     spark.dataSource.register(PageFiles)
