@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Signs and codes of currencies; those without minor units.
@@ -97,86 +96,83 @@ def _read_body(body: str, unit: str | None, decimal: str | None) -> tuple[float
     return float(f"{parts[0] or '0'}.{parts[1] or '0'}"), "decimal"
 
 
-def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is worked out once."""
-    return F.transform(F.array(value), body)[0]
+_BLANKS = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_GROUPS = (r"(?:,\d{3})", r"(?:\.\d{3})", r"(?:'\d{3})", r"(?: \d{3})")
 
 
-def number_reading(text: Column, decimal: str | None = None) -> Column:
-    """``struct(value, unit, rule, state)`` as ``read_number`` gives it, by expressions of
-    the JVM. Null, empty and texts over 64 characters hold no number."""
-    no = F.struct(F.lit(None).cast("double").alias("value"), F.lit(None).cast("string").alias("unit"), F.lit(None).cast("string").alias("rule"), F.lit("no_number").alias("state"))
-    blank = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x1c-\x1f\x85]"
-    trim = lambda c: F.regexp_replace(c, f"^{blank}+|{blank}+$", "")
-    signs = F.create_map(*(F.lit(x) for k, v in SIGNS.items() for x in (k, v or "kr")))
-    codes = sorted(CODES)
+def with_readings(rows: DataFrame, text: str, into: str = "reading", decimal: str | None = None) -> DataFrame:
+    """``rows`` with the reading of a column: ``struct(value, unit, rule, state)`` as
+    ``read_number`` gives it, by expressions of the JVM in a few steps, each worked out once.
+    Null, empty and texts over 64 characters hold no number."""
+    n = lambda x: F.col(f"_n_{x}")
+    trim = lambda c: F.btrim(c, F.lit(_BLANKS))
+    codes, comma, point, mark, space = sorted(CODES), *_GROUPS
 
     def unit_of(x: Column) -> Column:
-        return F.when(x == "%", "%").when(signs[x].isNotNull(), signs[x]).when(F.upper(x).isin(codes), F.upper(x))
-
-    def settle(x: Column) -> Column:
-        """The reading of struct(minus, before, body, after, dash)."""
-        before, after, body = x["before"], x["after"], x["body"]
-        only = unit_of(F.concat(before, after))
-        both = F.when(F.upper(after).isin(codes) & unit_of(before).isin("USD", "kr"), F.upper(after))
-        unit = F.when((before == "") | (after == ""), only).otherwise(both)
-        known = ((before == "") & (after == "")) | unit.isNotNull()
-        sign = F.when(x["minus"], -1.0).otherwise(1.0)
-        return F.when(~known | (F.length(F.regexp_replace(body, "[^0-9]", "")) > 18), no_unit(unit, known)).otherwise(
-            _bind(F.struct(unit.alias("unit"), body.alias("body"), sign.alias("sign"), x["dash"].alias("dash")), value_of)
-        )
-
-    def no_unit(unit: Column, known: Column) -> Column:
-        return F.struct(F.lit(None).cast("double").alias("value"), F.when(known, unit).alias("unit"), F.lit(None).cast("string").alias("rule"), F.lit("no_number").alias("state"))
-
-    def value_of(x: Column) -> Column:
-        body, unit = x["body"], x["unit"]
-        like = lambda p: body.rlike(p)
-        plain = like(r"^\d+$")
-        two = like(r"^\d{1,3}(?:(?:,\d{3})+\.|(?:\.\d{3})+,|(?:'\d{3})+[.,]|(?: \d{3})+[.,])\d*$") | like(r"^\d{1,3}(?:,\d{2})+,\d{3}\.\d*$")
-        grouped = like(r"^\d{1,3}(?:(?:,\d{3}){2,}|(?:\.\d{3}){2,}|(?:'\d{3})+|(?: \d{3})+)$")
-        lakh = like(r"^\d{1,2}(?:,\d{2})+,\d{3}$")
-        one = like(r"^\d+[.,]\d*$")
-        either = one & like(r"^[1-9]\d{0,2}[.,]\d{3}$")
-        kind = F.regexp_extract(body, r"([.,])", 1)
-        no_minor = either & F.coalesce(unit.isin(sorted(WHOLE)), F.lit(False))
-        language = either & unit.isNull() & F.lit(decimal is not None)
-        divides = language & (kind == F.lit(decimal or ""))
-        rule = (
-            F.when(plain, "whole").when(two, "two_marks").when(grouped, "grouped").when(lakh, "lakh").when(no_minor, "no_minor_unit")
-            .when(language, "language").when(either, "either").when(one, "decimal")
-        )
-        digits = F.regexp_replace(body, "[^0-9]", "")
-        point = F.regexp_replace(F.regexp_replace(body, r"[.,](?=\d*$)", "p"), "[^0-9p]", "")
-        point = F.regexp_replace(point, "p", ".")
-        fraction = two | divides | (one & ~either)
-        value = F.when(rule.isNull() | (rule == "either"), F.lit(None)).when(fraction, point.try_cast("double")).otherwise(digits.try_cast("double"))
-        return F.struct(
-            (value * x["sign"]).cast("double").alias("value"),
-            unit.alias("unit"),
-            F.when(x["dash"], "dash_ending").otherwise(rule).alias("rule"),
-            F.when(value.isNotNull(), "read").when((rule == "either") & ~x["dash"], "unsettled").otherwise("no_number").alias("state"),
-        )
-
-    def cut(t: Column) -> Column:
-        """Sign, what stands before and after the number, and its body."""
-        rest = F.when(t.rlike("^[+\u2212-]"), trim(F.substr(t, F.lit(2)))).otherwise(t)
-        mark = r"[\d.,'\u2019\u00a0\u202f\u2009 ]"
-        body = F.regexp_extract(rest, rf"^[^\d]*(\d{mark}*)", 1)
-        after = trim(F.regexp_replace(rest, rf"^[^\d]*\d{mark}*", ""))
-        body = F.regexp_replace(F.translate(body, "\u2019\u00a0\u202f\u2009", "'   "), " +$", "")
-        dash = body.rlike("[.,]$") & after.rlike("^[-\u2013\u2014]")
-        return F.struct(
-            t.rlike("^[\u2212-]").alias("minus"),
-            trim(F.regexp_extract(rest, r"^([^\d]*)", 1)).alias("before"),
-            F.regexp_replace(body, "[.,]$", "").alias("body"),
-            F.when(dash, trim(F.substr(after, F.lit(2)))).otherwise(after).alias("after"),
-            dash.alias("dash"),
-        )
-
-    trimmed = trim(text)
-    fits = text.isNotNull() & (F.length(trimmed) <= 64) & trimmed.rlike(r"\d")
-    return F.when(fits, _bind(trimmed, lambda t: _bind(cut(t), settle))).otherwise(no)
+        out = F.when(x == "%", "%")
+        for sign, unit in SIGNS.items():
+            out = out.when(x == sign, unit or "kr")
+        return out.when(F.upper(x).isin(codes), F.upper(x))
+
+    like = lambda p: n("body").rlike(p)
+    two = f"{comma}+\\.|{point}+,|{mark}+[.,]|{space}+[.,]"
+    sign = F.substring(n("t"), 1, 1)
+    single = n("body").rlike(r"^\d+[.,]\d*$")
+    either = single & (n("kinds") == 1) & like(r"^[1-9]\d{0,2}[.,]\d{3}$")
+    steps = [
+        {"t": F.when((F.length(trim(F.col(text))) <= 64), trim(F.col(text))).otherwise("")},
+        {"rest": F.when(sign.isin("+", "-", "\u2212"), trim(F.substr(n("t"), F.lit(2)))).otherwise(n("t")), "minus": sign.isin("-", "\u2212")},
+        {"raw": F.regexp_extract(n("rest"), rf"^[^\d]*(\d[\d.,'\u2019{_SPACES}]*)", 1)},
+        {"at": F.instr(n("rest"), n("raw"))},
+        {
+            "before": trim(F.substring(n("rest"), F.lit(1), n("at") - 1)),
+            "after": trim(F.substring(n("rest"), n("at") + F.length(n("raw")), F.lit(64))),
+            "cut": F.rtrim(F.translate(n("raw"), f"\u2019{_SPACES[1:]}", "'   ")),
+        },
+        {"ends": F.substring(n("cut"), -1, 1).isin(",", "."), "first": F.substring(n("after"), 1, 1)},
+        {
+            "body": F.when(n("ends"), F.substring(n("cut"), F.lit(1), F.length(n("cut")) - 1)).otherwise(n("cut")),
+            "dash": n("ends") & n("first").isin("-", "\u2013", "\u2014"),
+        },
+        {"after": F.when(n("dash"), trim(F.substr(n("after"), F.lit(2)))).otherwise(n("after")), "digits": F.translate(n("body"), "., '", "")},
+        {
+            "unit": F.when((n("before") == "") | (n("after") == ""), unit_of(F.concat(n("before"), n("after")))).when(
+                F.upper(n("after")).isin(codes) & unit_of(n("before")).isin("USD", "kr"), F.upper(n("after"))
+            ),
+            "kinds": F.length(n("body")) - F.length(n("digits")),
+        },
+        {"known": ((n("before") == "") & (n("after") == "")) | n("unit").isNotNull()},
+        {
+            "rule": F.when((n("raw") == "") | ~n("known") | (F.length(n("digits")) > 18), F.lit(None).cast("string"))
+            .when(n("kinds") == 0, "whole")
+            .when((n("kinds") > 1) & like(rf"^\d{{1,3}}(?:{two})\d*$|^\d{{1,3}}(?:,\d{{2}})+,\d{{3}}\.\d*$"), "two_marks")
+            .when(like(rf"^\d{{1,3}}(?:{comma}{{2,}}|{point}{{2,}}|{mark}+|{space}+)$"), "grouped")
+            .when((n("kinds") > 1) & like(r"^\d{1,2}(?:,\d{2})+,\d{3}$"), "lakh")
+            .when(either & n("unit").isin(sorted(WHOLE)), "no_minor_unit")
+            .when(either & n("unit").isNull() & F.lit(decimal is not None), F.when(F.contains(n("body"), F.lit(decimal or ".")), "language_divides").otherwise("language"))
+            .when(either, "either")
+            .when(single, "decimal")
+        },
+        {
+            "value": F.when(
+                n("rule").isin("two_marks", "decimal", "language_divides"),
+                F.concat(F.translate(F.regexp_replace(n("body"), r"[.,]\d*$", ""), "., '", ""), F.lit("."), F.regexp_extract(n("body"), r"[.,](\d*)$", 1)).try_cast("double"),
+            ).when(n("rule") != "either", n("digits").try_cast("double"))
+        },
+    ]
+    out = rows
+    for step in steps:
+        out = out.withColumns({f"_n_{k}": v for k, v in step.items()})
+    told = F.when(n("rule") == "language_divides", "language").otherwise(n("rule"))
+    state = F.when(n("value").isNotNull(), "read").when((n("rule") == "either") & ~n("dash"), "unsettled").otherwise("no_number")
+    dash = n("dash") & n("known") & (n("raw") != "") & (F.length(n("digits")) <= 18)
+    reading = F.struct(
+        (n("value") * F.when(n("minus"), -1.0).otherwise(1.0)).alias("value"),
+        F.when((n("raw") != "") & n("known"), n("unit")).alias("unit"),
+        F.when(dash, "dash_ending").otherwise(told).alias("rule"),
+        state.alias("state"),
+    )
+    return out.withColumn(into, reading).drop(*(f"_n_{k}" for step in steps for k in step))
 
 
 def amount_readings(text: Column) -> Column:

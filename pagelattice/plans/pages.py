@@ -11,6 +11,7 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..operators import dom, facts, graph, lists, markdown, regions, schema_map, sections, site_map, tables
 from ..operators import selectors as S
+from ..operators.spread import spread
 from .registry import query, read
 from .urls import _src
 
@@ -304,11 +305,11 @@ def html_list_detected(spark: SparkSession, sf: str) -> DataFrame:
 )
 def number_readings(spark: SparkSession, sf: str) -> DataFrame:
     """Prices written in two notations, read back."""
-    l = read(spark, sf, "lineitem")
+    l = spread(read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"))
     english = F.format_number("l_extendedprice", 2)
     german = F.translate(english, ",.", ".,")
     written = F.when(F.col("l_orderkey") % 2 == 0, cat(german, " €")).otherwise(cat("$", english))
-    l = l.select("l_orderkey", "l_linenumber", "l_partkey", N.number_reading(written).alias("r"))
+    l = N.with_readings(l.select("l_orderkey", "l_linenumber", "l_partkey", written.alias("written")), "written", "r")
     return l.select("l_orderkey", "l_linenumber", "l_partkey", "r.state", F.round("r.value", 2).alias("value"), "r.unit")
 
 

@@ -101,6 +101,6 @@ def test_readings_of_the_two_readers_are_equal(spark):
     texts += ["1,234.56", "1.234,56 €", "12,34,567.89", "12,34,567", "1'234.5", "1 234,5", "1.234", "0.123", "¥1,234", "5,-", "5.–", "1" * 19, "9" * 70, "", None, " 7 ", "12.3.4", "1,2,3"]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     for decimal in (None, ".", ","):
-        got = {r.i: tuple(r.r) for r in df.select("i", N.number_reading(F.col("t"), decimal).alias("r")).collect()}
+        got = {r.i: tuple(r.r) for r in N.with_readings(df, "t", "r", decimal).collect()}
         for i, t in enumerate(texts):
             assert got[i] == N.read_number(t, decimal), (t, decimal)
