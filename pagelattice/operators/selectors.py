@@ -1,14 +1,22 @@
-"""CSS selectors over the node table: compound parts as filters, combinators as joins."""
+"""CSS selectors over the node table: compound parts as filters, combinators as joins; and
+within a page function, over the nodes of its tree."""
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Callable
+from functools import lru_cache
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .dom import Node
+
 #: Parts a selector list may have.
 MOST_PARTS = 100
+_BLANK = re.compile(r"[\t\n\f\r ]+")
 _PART = re.compile(
     r"(?P<tag>\*|[A-Za-z][\w-]*)|#(?P<id>[\w-]+)|\.(?P<cls>[\w-]+)|\[(?P<attr>[\w-]+)(?:(?P<op>[~^$*|]?=)(?P<q>[\"']?)(?P<val>[^\"'\]]*)(?P=q))?\]"
     r"|:(?P<pseudo>root|empty)|:(?P<func>not|is|where)\((?P<arg>[^()]*)\)"
@@ -123,6 +131,78 @@ def select(nodes: DataFrame, selector: str) -> DataFrame:
     return nodes.join(found.distinct(), ["page_id", "node_id"], "left_semi")
 
 
+def _test(m: re.Match) -> Callable[[Node], bool]:
+    """What ``_condition`` says of one part, for a node of a tree."""
+    v = m["val"] or ""
+    if m["tag"]:
+        t = m["tag"].lower()
+        return lambda n: t in ("*", n.tag)
+    if m["id"]:
+        return lambda n, v=m["id"]: n.attrs.get("id") == v
+    if m["cls"]:
+        return lambda n, v=m["cls"]: v in n.attrs.get("class", "") and v in _BLANK.split(n.attrs["class"])
+    if m["attr"]:
+        holds = {
+            None: lambda a: True,
+            "=": lambda a: a == v,
+            "~=": lambda a: v in _BLANK.split(a),
+            "^=": lambda a: bool(v) and a.startswith(v),
+            "$=": lambda a: bool(v) and a.endswith(v),
+            "*=": lambda a: bool(v) and v in a,
+            "|=": lambda a: a == v or a.startswith(f"{v}-"),
+        }[m["op"]]
+        return lambda n, name=m["attr"].lower(): name in n.attrs and holds(n.attrs[name])
+    if m["pseudo"] == "root":
+        return lambda n: n.parent.parent is None
+    if m["pseudo"]:
+        return lambda n: not n.kids() and n.own_text() == ""
+    inner = [[_test(x) for x in _compound(x.strip(), 0)[0]] for x in m["arg"].split(",")]
+    return lambda n, no=m["func"] == "not": any(all(t(n) for t in tests) for tests in inner) != no
+
+
+def _tests(parts: list[re.Match]) -> Callable[[Node], bool]:
+    tests = [_test(m) for m in parts]
+    return tests[0] if len(tests) == 1 else lambda n: all(t(n) for t in tests)
+
+
+def _chain(chain: list[tuple[str, Callable[[Node], bool]]]) -> Callable[[Node], bool]:
+    """Whether a node ends a chain: its own test holds, and an ancestor (for a child step the
+    parent) ends the rest."""
+    (comb, own), rest = chain[-1], chain[:-1]
+    if not rest:
+        return own
+    before = _chain(rest)
+
+    def ends(n: Node) -> bool:
+        if not own(n):
+            return False
+        above = (u for u in n.up() if u.parent is not None)
+        return any(before(u) for u in (islice(above, 1) if comb == ">" else above))
+
+    return ends
+
+
+@lru_cache(maxsize=64)
+def matcher(selector: str) -> Callable[[Node], bool]:
+    """Whether a selector names a node of a tree, as ``select`` would have it. Alternatives
+    are looked up by the tag of their last compound."""
+    every: list[Callable[[Node], bool]] = []
+    by_tag: dict[str, list[Callable[[Node], bool]]] = {}
+    for chain in parse(selector):
+        tag = next((m["tag"].lower() for m in chain[-1][1] if m["tag"]), "*")
+        (every if tag == "*" else by_tag.setdefault(tag, [])).append(_chain([(comb, _tests(parts)) for comb, parts in chain]))
+    for own in by_tag.values():
+        own += every
+
+    def names(n: Node) -> bool:
+        for ends in by_tag.get(n.tag, every):
+            if ends(n):
+                return True
+        return False
+
+    return names
+
+
 def attributes(nodes: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """``page_id, selector, attribute, values``: the values of an attribute on the nodes a
     selector names, in document order (a page's list is bounded by the page)."""
@@ -159,10 +239,32 @@ def counts(nodes: DataFrame) -> DataFrame:
     )
 
 
+COUNTS = "li long, a long, p long, tables long, headings long, articles long, chars long, link_density double"
+
+
+def counts_without(root: Node, selector: str) -> tuple | None:
+    """``counts`` of ``without``, worked out on a page's tree; None if nothing is left."""
+    cut, tags, chars, stack = matcher(selector), Counter(), 0, root.kids()
+    while stack:
+        n = stack.pop()
+        if not cut(n):
+            tags[n.tag] += 1
+            chars += len(n.own_text())
+            stack += n.kids()
+    if not tags:
+        return None
+    headings = tags["h1"] + tags["h2"] + tags["h3"]
+    return tags["li"], tags["a"], tags["p"], tags["table"], headings, tags["article"], chars, tags["a"] * 100 / chars if chars else 0.0
+
+
 def page_type(c: DataFrame, signals: DataFrame) -> DataFrame:
     """``page_type`` and ``strategy`` by the counts of the cleaned page and what it declares
     (``page_id, product, forum_posts``); the first rule that fits decides."""
-    j = c.join(signals, "page_id", "left").na.fill({"product": False, "forum_posts": 0})
+    return typed(c.join(signals, "page_id", "left").na.fill({"product": False, "forum_posts": 0}))
+
+
+def typed(j: DataFrame) -> DataFrame:
+    """``page_type`` of rows that hold both the counts and what is declared."""
     rules = [
         ("product", "product", "product"),
         ("forum_posts >= 2", "forum", "blocks"),

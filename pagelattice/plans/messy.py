@@ -37,7 +37,11 @@ _BODY = {
 
 def messy_pages(spark: SparkSession, sf: str, kind: int | None = None) -> DataFrame:
     """A page for each customer, of the given kind or of the kind that the number says."""
-    c = read(spark, sf, "customer")
+    return pages_of(read(spark, sf, "customer"), kind)
+
+
+def pages_of(c: DataFrame, kind: int | None = None) -> DataFrame:
+    """The pages of customers."""
     key = F.col("c_custkey")
     n = (key % 7).cast("int")
     each = lambda text: F.array_join(F.transform(F.sequence(F.lit(1), n + 6), lambda i: cat(text[0], i.cast("string"), text[1])), "")
@@ -56,16 +60,17 @@ def messy_pages(spark: SparkSession, sf: str, kind: int | None = None) -> DataFr
   case c_custkey % 5 when 0 then 'main' when 1 then 'list' when 2 then 'table' when 3 then 'blocks' else 'product' end as strategy from customer"""
 )
 def messy_types(spark: SparkSession, sf: str) -> DataFrame:
-    """The kind of each page, by what is left of it when it is cleaned."""
-    pages = messy_pages(spark, sf)
+    """The kind of each page, by what is left of it when it is cleaned. A page is parsed once;
+    the customers are dealt over the cores, as a small file of them makes many pages."""
+    c = read(spark, sf, "customer").select("c_custkey", "c_name").repartition(spark.sparkContext.defaultParallelism)
     cut = "nav, header, footer, script, style, aside, #onetrust-banner-sdk, .ad, .promo, [style*='display:none']"
-    c = S.counts(S.without(dom.node_table(pages, texts=False), cut))
 
-    def declared(root: dom.Node) -> list[tuple]:
+    def signs(root: dom.Node) -> list[tuple]:
+        left = S.counts_without(root, cut)
         posts = sum("post" in n.attrs.get("class", "").split() for n in root.elements())
-        return [(any("Product" in facts.types_of(x) for x in facts.json_ld(root)), posts)]
+        return [] if left is None else [(*left, any("Product" in facts.types_of(x) for x in facts.json_ld(root)), posts)]
 
-    return S.page_type(c, dom.per_page(pages, declared, "product boolean, forum_posts int"))
+    return S.typed(dom.per_page(pages_of(c), signs, f"{S.COUNTS}, product boolean, forum_posts int"))
 
 
 @query(
